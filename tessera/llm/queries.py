@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packing
 from . import token_counts as counts
 from .common import table
 
@@ -19,11 +20,16 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
 QUERIES: dict[str, Query] = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_token_counts": op7_token_counts,
 }
 
