@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, simhash, toxicity
+from . import byte_bpe, graph_dedup, packing, simhash, toxicity
 from . import token_counts as counts
 from .common import table
 
@@ -42,12 +42,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_graph_near_dedup": op10_graph_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
