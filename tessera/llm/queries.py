@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, graph_dedup, packing, simhash, toxicity
+from . import byte_bpe, compaction, graph_dedup, packing, simhash, toxicity
 from . import token_counts as counts
-from .common import table
+from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seen="crc32(cast(doc_id as string)) % 3 <> 1", cut=0.7)
 
 
+def op3_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = compaction.compacted(table(spark, sf_dir, "documents"), Scratch(spark, "shards").root, rows_a_file=1_000)
+    text = F.coalesce("text", F.lit(""))
+    return made.read().select("doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+OP3_SQL = "select doc_id, lang, source, cast(strlen(coalesce(text, '')) as bigint) as n_bytes, sha256(coalesce(text, '')) as text_sha256 from documents"
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -48,6 +58,7 @@ def op10_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op3_size_tiered_compaction": op3_size_tiered_compaction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_token_counts": op7_token_counts,
@@ -55,4 +66,6 @@ QUERIES: dict[str, Query] = {
     "op10_graph_near_dedup": op10_graph_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_size_tiered_compaction": OP3_SQL,
+}
