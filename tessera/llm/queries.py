@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compaction, graph_dedup, packing, simhash, toxicity
+from . import byte_bpe, compaction, graph_dedup, packing, pii, simhash, toxicity
 from . import token_counts as counts
 from .common import Scratch, table
 
@@ -21,6 +21,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seen="crc32(cast(doc_id as string)) % 3 <> 1", cut=0.7)
 
@@ -57,6 +61,7 @@ def op10_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_personal_data": op1_personal_data,
     "op2_toxicity": op2_toxicity,
     "op3_size_tiered_compaction": op3_size_tiered_compaction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
