@@ -4,7 +4,7 @@ Base. A pattern's matches come from regexp_extract_all and the gaps between them
 sums of their lengths give each match's place in code points. The patterns are rewritten so that the JVM's engine runs in linear time
 and without recursion over long runs: separators inside a run are first turned into one private letter each, which keeps places.
 
-Bootstrapping. Every word with a digit or @ is an instance, the two words before it are its lexical pattern. Base spans are seeds. In
+Bootstrapping. Every word with four digits or @ is an instance, the two words before it are its lexical pattern. Base spans are seeds. In
 turns, a pattern's score is the share of its instances' scores, damped by how few distinct seeds it has, and an instance's score
 is the chance that one of its patterns is right. Patterns of at least `least` and SEEDS distinct seeds are trusted, and an
 instance under them that no base span touches becomes a span of the pattern's kind. Both sides are aggregated before they are joined, so
@@ -51,18 +51,22 @@ HOLDS = {
 }
 PLACED = "array<struct<start:int,stop:int,value:string>>"
 SPANS = "array<struct<start:int,rank:int,stop:int>>"
+#: Matches that are placed together.
+BLOCK = 256
 #: Rounds of the graph, distinct seeds that a trusted pattern has at least.
 ROUNDS, SEEDS = 3, 5
 INSTANCE = "[^\\\\s]*[0-9@][^\\\\s]*"
 
 
 def placed(found: str, gaps: str, keep: str = "true") -> str:
-    """SQL: (start, stop, value) of each match, from the matches and the lengths of the gaps around them."""
-    last = "if(size(a) = 0, 0, element_at(a, -1).stop)"
+    """SQL: (start, stop, value) of each match, from the matches and the lengths of the gaps around them; by blocks, as appending copies."""
+    last = "if(size(a) > 0, element_at(a, -1).stop, if(size(o) > 0, element_at(o, -1).stop, 0))"
     start = f"{last} + element_at({gaps}, i)"
     row = f"named_struct('start', {start}, 'stop', {start} + length(element_at({found}, i)), 'value', element_at({found}, i))"
-    every = f"aggregate(sequence(1, size({found})), cast(array() as {PLACED}), (a, i) -> cast(array_append(a, {row}) as {PLACED}))"
-    return f"case when size({found}) = 0 then cast(array() as {PLACED}) else filter({every}, s -> {keep}) end"
+    none = f"cast(array() as {PLACED})"
+    block = f"aggregate(sequence({BLOCK} * k + 1, least(size({found}), {BLOCK} * k + {BLOCK})), {none}, (a, i) -> cast(array_append(a, {row}) as {PLACED}))"
+    every = f"aggregate(sequence(0, cast((size({found}) - 1) div {BLOCK} as int)), {none}, (o, k) -> cast(concat(o, {block}) as {PLACED}))"
+    return f"case when size({found}) = 0 then {none} else filter({every}, s -> {keep}) end"
 
 
 def matched(pattern: str, read: str, needs: str) -> tuple[str, str]:
@@ -90,7 +94,7 @@ def instances(rows: DataFrame) -> DataFrame:
     out = rows.withColumns({"m": F.expr(found), "g": F.expr(gaps), "b": F.expr(before)}).withColumn("w", F.expr(placed("m", "g")))
     touched = "element_at(transform(filter(spans, s -> s.start < w1.stop and s.stop > w1.start), s -> s.rank), 1)"
     word = f"named_struct('start', w1.start, 'stop', w1.stop, 'value', lower(w1.value), 'pattern', regexp_replace(element_at(b, i + 1), '\\\\s+', ' '), 'rank', try_{touched})"
-    return out.withColumn("words", F.expr(f"filter(transform(w, (w1, i) -> {word}), x -> x.pattern <> '')"))
+    return out.withColumn("words", F.expr(f"filter(transform(w, (w1, i) -> {word}), x -> x.pattern <> '' and (instr(x.value, '@') > 0 or length(regexp_replace(x.value, '[^0-9]', '')) >= 4))"))
 
 
 def trusted(words: DataFrame, least: float) -> DataFrame:
