@@ -23,6 +23,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, if there, as its texts have it now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage: a lost executor costs its tasks, not the stages before."""
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh, recounted
 
 #: The kinds in their order. E000 stands for a space or hyphen between digits, E001 for a dot between letters, digits or hyphens.
 KINDS = ("email", "ip", "card", "phone")
@@ -118,6 +118,33 @@ def joined(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat(element_at({names}, s.rank + 1), ':', s.start, ':', s.stop)), ',')"
 
 
+def masked(text: str, spans: str) -> str:
+    """SQL: text with <KIND> in place of each span; overlapping spans are one of the first one's kind. By blocks, as a place is found by counting from the start."""
+    last = "element_at(a, -1)"
+    grown = f"array_append(slice(a, 1, size(a) - 1), named_struct('start', {last}.start, 'rank', {last}.rank, 'stop', greatest({last}.stop, s.stop)))"
+    united = f"aggregate({spans}, cast(array() as {SPANS}), (a, s) -> cast(case when size(a) > 0 and try_element_at(a, -1).stop > s.start then {grown} else array_append(a, s) end as {SPANS}))"
+    kinds = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
+    begin = "if(i = 0, b.low, b.own[i - 1].stop)"
+    piece = f"concat(substring(b.part, {begin} - b.low + 1, s.start - {begin}), element_at({kinds}, s.rank + 1))"
+    low = f"if(k = 0, 0, u[{BLOCK} * k - 1].stop)"
+    block = f"named_struct('low', {low}, 'own', slice(u, {BLOCK} * k + 1, {BLOCK}), 'part', substring({text}, {low} + 1, u[least(size(u), {BLOCK} * k + {BLOCK}) - 1].stop - {low}))"
+    blocks = f"transform(sequence(0, cast((size(u) - 1) div {BLOCK} as int)), k -> {block})"
+    whole = f"concat(array_join(transform({blocks}, b -> array_join(transform(b.own, (s, i) -> {piece}), '')), ''), substring({text}, element_at(u, -1).stop + 1))"
+    return f"case when size({spans}) = 0 then {text} else element_at(transform(array({united}), u -> {whole}), 1) end"
+
+
+def redacted(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """docs with <KIND> in place of each span in its texts; null text becomes empty text; n_chars, if there, is counted anew.
+
+    docs has to be read from files (or be as steady), as its rows are numbered twice.
+    """
+    row, spans = fresh(docs, "row_number"), fresh(docs, "found_spans")
+    found = found_spans(docs, least).filter("size(spans) > 0").select(F.col("row").alias(row), F.col("spans").alias(spans))
+    each = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    out = each.withColumn(spans, F.coalesce(spans, F.expr(f"cast(array() as {SPANS})")))
+    return recounted(out.withColumn("text", F.expr(masked("text", spans))).select(*docs.columns))
+
+
 def found_spans(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(row, doc_id, base, spans) of docs(doc_id, text): row numbers the rows, base and spans are arrays of (start, rank, stop)."""
     scratch = Scratch(docs.sparkSession, "pii")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compaction, graph_dedup, packing, pii, simhash, toxicity
+from . import byte_bpe, compaction, graph_dedup, packing, pii, simhash, suffix_dedup, toxicity
 from . import token_counts as counts
 from .common import Scratch, table
 
@@ -56,6 +56,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"), width=400)
+
+
 def op10_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_graph_near_dedup": op10_graph_near_dedup,
 }
 

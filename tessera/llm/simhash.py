@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_slices, components
+from .common import Scratch, byte_slices, components, fresh
 
 #: Points in the sample that the top of the tree is built on, points in a shard (more only where the tree is full), most shards, and points of a block.
 SAMPLE, SHARD, SHARDS, BLOCK = 16_384, 4_000, 4096, 96
@@ -69,7 +69,8 @@ def majority(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp) of docs(doc_id, text); fp is the fingerprint as a signed long."""
+    """(doc_id, fp) of docs(doc_id, text), and row if docs has it third; fp is the fingerprint as a signed long."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +81,9 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                 flat = np.fromiter((h for one in each for h in one), np.uint64)
                 found.append(majority(flat, np.fromiter(map(len, each), np.int64, len(each))))
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, fp long" + ", row long" * len(more))
 
 
 def apart(points: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -214,14 +215,35 @@ def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
     return distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of docs(doc_id, text)."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.keep(fingerprints(docs, words))
+def grouped(marked: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, group, component_id) of the distinct fingerprints of marked(doc_id, fp)."""
     distinct = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(distinct, radius, distinct.count()), scratch)
     joined = scratch.keep(found.join(distinct, F.col("node") == F.col("fp")).select("node", "component", "least"))
     least = joined.groupBy("component").agg(F.min("least").alias("low"))
-    named = joined.join(least, "component").select(F.col("node").alias("fp"), "low")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
+    named = joined.join(least, "component").select(F.col("node").alias("fp"), "component", "low")
+    return distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("low", "least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of docs(doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.keep(fingerprints(docs.select("doc_id", "text"), words))
+    every = grouped(marked, radius, scratch)
     return marked.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs with one row of each group left: that of the smallest id (nulls last), the first of repeated rows.
+
+    docs has to be read from files (or be as steady), as its rows are numbered twice.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    row = fresh(docs, "row_number")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    marked = scratch.keep(fingerprints(numbered.select("doc_id", "text", F.col(row).alias("row")), words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    # The least row of each fingerprint first: a fingerprint of a third of all rows is one row before the join.
+    each = marked.groupBy("fp").agg(first).join(grouped(marked, radius, scratch), "fp")
+    stay = scratch.keep(each.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
+    return numbered.join(stay, row, "left_semi").drop(row)

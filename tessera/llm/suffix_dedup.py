@@ -14,7 +14,7 @@ Counts come from partial aggregates (the least and the greatest place with a has
 a third of all texts is one row for each task. Equality in steps 1 to 3 is by 128 bits of hash in all, in step 4 by bytes.
 
 Null text is empty text. Null ids and repeated rows are kept; repeated rows of at least width bytes remove each other. An
-empty table gives no rows; other columns pass through `kept_text` untouched and are not read by `removals`.
+empty table gives no rows; other columns pass through `kept_texts` untouched and are not read by `removals`.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Scratch, byte_slices
+from .common import Scratch, byte_slices, recounted
 from .induced import repeated_windows
 
 #: Bytes of a gram, windows of a block, bytes of text that are hashed at once, bytes of a shard for sorting, about.
@@ -249,3 +250,24 @@ def removals(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
 
     found = joined(docs.select("doc_id", "text"), width, gram).select("doc_id", "raw", "spans", "copied")
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def kept_texts(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
+    """docs with what is left of each text; a character that loses a byte goes whole. Null text becomes empty text; n_chars, if there, is counted anew."""
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw, found, copied in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                raw = raw.as_py()
+                gone = united(found.as_py(), copied.as_py(), len(raw))
+                parts = zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(raw)], strict=True)
+                out.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+
+    packed = docs.select("text", F.struct(*others).alias("row"))
+    found = joined(packed, width, gram).select("row", "raw", "spans", "copied")
+    kind = StructType([StructField("row", StructType([docs.schema[c] for c in others])), StructField("text", StringType())])
+    flat = found.mapInArrow(run, kind)
+    return recounted(flat.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]))

@@ -226,6 +226,16 @@ def fit(docs: DataFrame, labels: DataFrame, seen: str) -> Model | None:
     return model
 
 
+def scored(fitted: Model | None, column: pa.Array, cut: float) -> np.ndarray:
+    """Score of each text of a batch."""
+    texts = pc.fill_null(column.cast(pa.large_binary()), b"")
+    parts = [np.zeros(0)]
+    for a, b in byte_slices(pc.binary_length(texts).to_numpy(), SLICE):
+        words = [hashed(raw) for raw in texts.slice(a, b - a).to_pylist()]
+        parts.append(fitted.scores(words, cut) if fitted else np.zeros(len(words)))
+    return np.concatenate(parts)
+
+
 def classify(docs: DataFrame, labels: DataFrame, seen: str = "crc32(cast(doc_id as string)) % 3 <> 1", cut: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of docs(doc_id, text); held_out: the predicate seen doesn't hold."""
     spark = docs.sparkSession
@@ -235,13 +245,20 @@ def classify(docs: DataFrame, labels: DataFrame, seen: str = "crc32(cast(doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
         for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
-            parts = [np.zeros(0)]
-            for a, b in byte_slices(pc.binary_length(texts).to_numpy(), SLICE):
-                words = [hashed(raw) for raw in texts.slice(a, b - a).to_pylist()]
-                parts.append(fitted.scores(words, cut) if fitted else np.zeros(len(words)))
-            score = np.concatenate(parts)
+            score = scored(fitted, batch.column(1), cut)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", F.coalesce(F.expr(f"not ({seen})"), F.lit(False)).alias("held_out"), "score", "predicted")
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return found.select("doc_id", F.coalesce(F.expr(f"not ({seen})"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, labels: DataFrame, seen: str = "crc32(cast(doc_id as string)) % 3 <> 1", cut: float = 0.7) -> DataFrame:
+    """The rows of docs that score under cut, with all of their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, seen))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scored(sent.value, batch.column(at), cut) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
