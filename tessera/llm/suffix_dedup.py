@@ -3,7 +3,8 @@
 1. Each text of at least width bytes has a 128-bit key; a key with several rows is a text with copies, and goes whole.
 2. Windows of width bytes are dealt to anchors: the least of the hashes of a window's GRAM-byte grams, leftmost on ties. Equal windows
    have the same anchor at the same offset, so only windows of an anchor that stands in two places can be repeated. A run of
-   windows with one anchor is one row: anchor, place, offsets, and a hash of all the run's bytes. Equal runs are settled.
+   windows with one anchor is one row: anchor, place, offsets, and a hash of all the run's bytes. Equal runs are settled; one of
+   them goes on where its anchor has other runs, which may match a part of it. The same holds for equal blocks below.
 3. The other runs of repeated anchors are cut by offset into blocks of BLOCK windows. Equal blocks are settled as repeated, blocks
    whose core (the bytes that all of its windows share) stands once are settled as not repeated.
 4. What is left are blocks in which a match begins or ends. Their bytes, grouped by core, go to external induced sorting with
@@ -128,9 +129,16 @@ def all_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def twice(rows: DataFrame, *by: str) -> DataFrame:
-    """(by, whether two places have it) of rows with a place k1, k2, p."""
+    """(by, whether two places have it, the least place) of rows with a place k1, k2, p."""
     place = F.struct("k1", "k2", "p")
-    return rows.groupBy(*by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).select(*by, (F.col("lo") != F.col("hi")).alias("twice"))
+    return rows.groupBy(*by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).select(*by, (F.col("lo") != F.col("hi")).alias("twice"), "lo")
+
+
+def unsettled(rows: DataFrame, settled: DataFrame, by: list[str], group: list[str]) -> DataFrame:
+    """rows that are not whole, and of the equal rows that are, the one in the least place where its group has others: their match may lie in it."""
+    joined = rows.join(settled, by).filter((~F.col("whole")) | (F.struct("k1", "k2", "p") == F.col("lo"))).drop("lo")
+    others = settled.filter("not whole").select(*group).distinct()
+    return joined.join(others, group, "left_semi")
 
 
 def keyed_texts(docs: DataFrame, width: int, others: bool) -> DataFrame:
@@ -179,19 +187,22 @@ def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[Dat
     copied = scratch.keep(rows.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2", F.lit(True).alias("copied")))
     anchors = twice(every, "h").filter("twice").select("h")
     near = every.join(anchors, "h")
-    settled = twice(near, "h", "t0", "t1", "f").withColumnRenamed("twice", "whole")
-    near = scratch.keep(near.join(settled, ["h", "t0", "t1", "f"]))
+    near = scratch.keep(near)
     scratch.drop(every)
+    same = ["h", "t0", "t1", "f"]
+    settled = scratch.keep(twice(near, *same).withColumnRenamed("twice", "whole"))
     cover = F.struct((F.col("p") - F.col("t1")).alias("a"), (F.col("p") - F.col("t0") + width).alias("b"))
-    first = near.filter("whole").select("k1", "k2", cover.alias("s"))
+    first = near.join(settled.filter("whole").select(*same), same).select("k1", "k2", cover.alias("s"))
+    open_runs = unsettled(near, settled, same, ["h"]).select("h", "k1", "k2", "p", "t0", "t1").distinct()
 
     # A text with copies goes whole, and one copy of its bytes is enough to find others.
-    cut = scratch.keep(blocks(rows.dropDuplicates(["k1", "k2"]), near.filter("not whole").select("h", "k1", "k2", "p", "t0", "t1").distinct(), width))
+    cut = scratch.keep(blocks(rows.dropDuplicates(["k1", "k2"]), open_runs, width))
     places = cut.drop("bytes")
-    whole = twice(places, "h", "b", "t0", "t1", "f").withColumnRenamed("twice", "whole")
-    core = twice(places, "h", "b", "core").withColumnRenamed("twice", "shared").filter("shared")
-    second = places.join(whole.filter("whole"), ["h", "b", "t0", "t1", "f"]).select("k1", "k2", cover.alias("s"))
-    left = cut.join(whole.filter("not whole"), ["h", "b", "t0", "t1", "f"]).join(core, ["h", "b", "core"])
+    same, group = ["h", "b", "t0", "t1", "f", "core"], ["h", "b", "core"]
+    whole = twice(places, *same).withColumnRenamed("twice", "whole")
+    core = twice(places, *group).filter("twice").select(*group)
+    second = places.join(whole.filter("whole").select(*same), same).select("k1", "k2", cover.alias("s"))
+    left = unsettled(cut, whole, same, group).join(core, group, "left_semi")
     left = scratch.keep(left.select("h", "b", "core", "k1", "k2", "p", "t1", "bytes"))
     size = left.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))

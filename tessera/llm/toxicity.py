@@ -29,6 +29,8 @@ from .common import byte_slices
 
 #: Bounds of the labelled sample; the hash tables' rows, embedding and filters of each width; documents a step, steps, rates.
 POSITIVES, NEGATIVES = 4_000, 8_000
+#: Documents of the fitting sample that a word has to be in; others say nothing.
+LEAST_DOCS = 4
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 BATCH, STEPS, RATE = 64, 800, 0.05
 SLICE = 2 << 20
@@ -65,10 +67,16 @@ def language(words: np.ndarray) -> int:
     return int(hits.argmax())
 
 
-def places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the two tables; row ROWS of each is the mark of the end."""
+def frequent(docs: list[np.ndarray], least: int = LEAST_DOCS) -> np.ndarray:
+    """Sorted hashes of the words in at least `least` documents."""
+    words, count = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+    return words[(count >= least) & (words != 0)]
+
+
+def places(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the two tables; row ROWS of each is for the mark of the end and for words that are not known."""
     low, high = (words & np.uint32(ROWS - 1)).astype(np.int32), (words >> np.uint32(16)).astype(np.int32)
-    end = words == 0
+    end = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] != words if len(known) else np.ones(len(words), bool)
     low[end] = high[end] = ROWS
     return low, high
 
@@ -89,6 +97,7 @@ class Model:
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
         """Adagrad over balanced batches; only the words at each filter's maximum get a gradient."""
+        self.known = frequent(docs)
         make = np.random.default_rng(3)
         params = [*self.tables, *self.filters, self.bias, self.out]
         sums = [np.full(p.shape, 1e-4, np.float32) for p in params]
@@ -99,7 +108,7 @@ class Model:
             who = np.concatenate([make.choice(s, BATCH // 2) for s in sides])
             ends = np.cumsum([len(docs[i]) for i in who])
             starts = np.concatenate([[0], ends[:-1]])
-            low, high = places(np.concatenate([docs[i] for i in who]))
+            low, high = places(np.concatenate([docs[i] for i in who]), self.known)
             x = self.tables[0][low] + self.tables[1][high]
             best, top = [], []
             for k, w in enumerate(WIDTHS):
@@ -139,18 +148,13 @@ class Model:
                 params[n] -= rate * g / np.sqrt(sums[n])
             base_sum += float(error.sum()) ** 2
             self.base -= np.float32(rate * error.sum() / np.sqrt(base_sum))
-        for t, side in ((0, 0), (1, 1)):  # a word that fitting never saw says nothing
-            seen = np.zeros(ROWS + 1, bool)
-            for d in docs:
-                seen[places(d)[side]] = True
-            self.tables[t][~seen] = 0
 
     def raw_scores(self, docs: list[np.ndarray]) -> np.ndarray:
         """Before the bend, of each document."""
         if not docs:
             return np.zeros(0)
         starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
-        low, high = places(np.concatenate(docs))
+        low, high = places(np.concatenate(docs), self.known)
         features = []
         for k, w in enumerate(WIDTHS):
             a = None
