@@ -1,7 +1,7 @@
 """Toxic documents by a convolutional text classifier, trained in numpy.
 
-Text. ASCII lower case, punctuation to spaces, words between white space. A word is the sum of two hashed embeddings, so that a
-chance collision in one table gives half a signal. Filters of widths 1 to 3 run over whole texts, their maxima over the text feed a
+Text. ASCII lower case, punctuation to spaces, words between white space. A word is the sum of the hashed embeddings of itself and
+of its beginnings, so that other forms of a word share what is learned. Filters of widths 1 to 3 run over whole texts, their maxima over the text feed a
 logistic layer. For scoring, the product of each table with each filter is made once in a worker; a filter is then a sum of look-ups.
 
 Labels. Fitting takes at most POSITIVES and NEGATIVES labelled documents (a bounded sample in hash order of the ids, documented
@@ -30,8 +30,11 @@ from .common import byte_slices
 #: Bounds of the labelled sample; the hash tables' rows, embedding and filters of each width; documents a step, steps, rates.
 POSITIVES, NEGATIVES = 4_000, 8_000
 #: Documents of the fitting sample that a word has to be in; others say nothing.
-LEAST_DOCS = 4
-ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
+LEAST_DOCS = 8
+ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
+#: Bytes of the beginnings of a word that have embeddings of their own.
+BEGINNINGS = (4, 5, 6, 7)
+KINDS = 1 + len(BEGINNINGS)
 BATCH, STEPS, RATE = 64, 800, 0.05
 SLICE = 2 << 20
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -47,15 +50,24 @@ GUESS = {zlib.crc32(w.encode()): k for k, lang in enumerate(LANGUAGES[1:], 1) fo
 
 
 def hashed(raw: bytes) -> np.ndarray:
-    """CRC-32 of each word, and two marks of the end."""
+    """CRC-32 of each word and of its beginnings (0: the word is shorter), a row for a word, and two marks of the end."""
     found = raw.lower().translate(PUNCTUATION).split()
-    out = np.zeros(len(found) + 2, np.uint32)
-    out[:-2] = np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
+    out = np.zeros((len(found) + 2, KINDS), np.uint32)
+    if not found:
+        return out
+    distinct = list(dict.fromkeys(found))
+    place = dict(zip(distinct, range(len(distinct)), strict=True))
+    table = np.zeros((len(distinct), KINDS), np.uint32)
+    table[:, 0] = np.fromiter(map(zlib.crc32, distinct), np.uint32, len(distinct))
+    for k, n in enumerate(BEGINNINGS, 1):
+        table[:, k] = [zlib.crc32(w[:n], k) if len(w) >= n else 0 for w in distinct]
+    out[:-2] = table[[place[w] for w in found]]
     return out
 
 
 def language(words: np.ndarray) -> int:
     """Place in LANGUAGES of the language whose function words are most frequent; 0 if none is there."""
+    words = words[:, 0]
     hits = np.zeros(len(LANGUAGES), np.int64)
     keys = np.fromiter(GUESS, np.uint32)
     kinds = np.fromiter(GUESS.values(), np.int64)
@@ -73,24 +85,22 @@ def frequent(docs: list[np.ndarray], least: int = LEAST_DOCS) -> np.ndarray:
     return words[(count >= least) & (words != 0)]
 
 
-def places(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the two tables; row ROWS of each is for the mark of the end and for words that are not known."""
-    low, high = (words & np.uint32(ROWS - 1)).astype(np.int32), (words >> np.uint32(16)).astype(np.int32)
-    end = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] != words if len(known) else np.ones(len(words), bool)
-    low[end] = high[end] = ROWS
-    return low, high
+def places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Rows in the table; row ROWS is for the mark of the end and for what is not known."""
+    rows = (words & np.uint32(ROWS - 1)).astype(np.int32)
+    rows[known[np.minimum(np.searchsorted(known, words), len(known) - 1)] != words if len(known) else ...] = ROWS
+    return rows
 
 
 class Model:
-    """Two embedding tables, filters by width, a logistic layer, and the bend of the scores of each language."""
+    """An embedding table, filters by width, a logistic layer, and the bend of the scores of each language."""
 
     def __init__(self, seed: int = 7):
         make = np.random.default_rng(seed)
-        self.tables = [make.normal(0, 0.1, (ROWS + 1, DIM)).astype(np.float32) for _ in range(2)]
-        for t in self.tables:
-            t[ROWS] = 0
+        self.table = make.normal(0, 0.05, (ROWS + 1, DIM)).astype(np.float32)
+        self.table[ROWS] = 0
         self.filters = [make.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-        self.bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
+        self.bias = np.full(FILTERS * len(WIDTHS), 0.1, np.float32)
         self.out = make.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
         self.base = np.float32(-1)
         self.bend = np.full(len(LANGUAGES), 0.5)
@@ -99,7 +109,7 @@ class Model:
         """Adagrad over balanced batches; only the words at each filter's maximum get a gradient."""
         self.known = frequent(docs)
         make = np.random.default_rng(3)
-        params = [*self.tables, *self.filters, self.bias, self.out]
+        params = [self.table, *self.filters, self.bias, self.out]
         sums = [np.full(p.shape, 1e-4, np.float32) for p in params]
         base_sum = 1e-4
         sides = [np.flatnonzero(labels == k) for k in (0, 1)]
@@ -108,8 +118,8 @@ class Model:
             who = np.concatenate([make.choice(s, BATCH // 2) for s in sides])
             ends = np.cumsum([len(docs[i]) for i in who])
             starts = np.concatenate([[0], ends[:-1]])
-            low, high = places(np.concatenate([docs[i] for i in who]), self.known)
-            x = self.tables[0][low] + self.tables[1][high]
+            rows_of = places(np.concatenate([docs[i] for i in who]), self.known)
+            x = self.table[rows_of].sum(1)
             best, top = [], []
             for k, w in enumerate(WIDTHS):
                 a = x @ self.filters[k][0]
@@ -135,14 +145,13 @@ class Model:
                     steps.append((g[:, :, None] * self.filters[k][j].T[None]).reshape(-1, DIM))
             at, grad = np.concatenate(rows), np.concatenate(steps)
             used = np.abs(grad).sum(1) > 0
-            for t, place in ((0, low), (1, high)):
-                own, back = np.unique(place[at[used]], return_inverse=True)
-                total = np.zeros((len(own), DIM), np.float32)
-                np.add.at(total, back, grad[used])
-                total[own == ROWS] = 0
-                sums[t][own] += total**2
-                params[t][own] -= rate * total / np.sqrt(sums[t][own])
-            for n, g in enumerate([*grads, down.sum(0), feature.T @ error], 2):
+            own, back = np.unique(rows_of[at[used]], return_inverse=True)
+            total = np.zeros((len(own), DIM), np.float32)
+            np.add.at(total, back.ravel(), np.repeat(grad[used], KINDS, 0))
+            total[own == ROWS] = 0
+            sums[0][own] += total**2
+            self.table[own] -= rate * total / np.sqrt(sums[0][own])
+            for n, g in enumerate([*grads, down.sum(0), feature.T @ error], 1):
                 g = g + 1e-4 * params[n]
                 sums[n] += g**2
                 params[n] -= rate * g / np.sqrt(sums[n])
@@ -154,13 +163,15 @@ class Model:
         if not docs:
             return np.zeros(0)
         starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
-        low, high = places(np.concatenate(docs), self.known)
+        rows = places(np.concatenate(docs), self.known)
         features = []
         for k, w in enumerate(WIDTHS):
             a = None
             for j in range(w):
-                one, two = self.looked_up()[k][j]
-                part = one[low] + two[high]
+                looked = self.looked_up()[k][j]
+                part = looked[rows[:, 0]]
+                for kind in range(1, KINDS):
+                    part += looked[rows[:, kind]]
                 if a is None:
                     a = part
                 else:
@@ -169,9 +180,9 @@ class Model:
         feature = np.maximum(np.concatenate(features, 1) + self.bias, 0)
         return 1 / (1 + np.exp(-(feature @ self.out + self.base).astype(np.float64)))
 
-    def looked_up(self) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    def looked_up(self) -> list[list[np.ndarray]]:
         if not hasattr(self, "products"):
-            self.products = [[tuple(t @ f[j] for t in self.tables) for j in range(w)] for w, f in zip(WIDTHS, self.filters, strict=True)]
+            self.products = [[self.table @ f[j] for j in range(w)] for w, f in zip(WIDTHS, self.filters, strict=True)]
         return self.products
 
     def calibrate(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
@@ -220,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, seen: str) -> Model | None:
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
     rows = words_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")).collect()
     rows = sorted({r[0]: bytes(r[1]) for r in rows}.items())
-    texts = [np.frombuffer(w, np.uint32) for _, w in rows]
+    texts = [np.frombuffer(w, np.uint32).reshape(-1, KINDS) for _, w in rows]
     toxic = np.array([chosen[i] for i, _ in rows], np.float32)
     held = np.array([zlib.crc32(b"calibrate%d" % i) % 4 == 0 for i, _ in rows])
     model = Model()
