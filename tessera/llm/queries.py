@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compaction, graph_dedup, packing, pii, simhash, suffix_dedup, toxicity
+from . import byte_bpe, compaction, graph_dedup, packing, pii, progressive_jpeg, simhash, suffix_dedup, toxicity
 from . import token_counts as counts
 from .common import Scratch, table
 
@@ -46,6 +46,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_size_tiered_compaction": op3_size_tiered_compaction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_progressive_jpeg": op6_progressive_jpeg,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
