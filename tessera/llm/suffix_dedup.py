@@ -7,7 +7,8 @@
    them goes on where its anchor has other runs, which may match a part of it. The same holds for equal blocks below.
 3. The other runs of repeated anchors are cut by offset into blocks of BLOCK windows. Equal blocks are settled as repeated, blocks
    whose core (the bytes that all of its windows share) stands once are settled as not repeated.
-4. What is left are blocks in which a match begins or ends. Their bytes, grouped by core, go to external induced sorting with
+4. What is left are blocks in which a match begins or ends. Where HOT or more have one core (a passage in very many texts), hashes of their
+   windows are counted, as windows of one anchor can only be equal at the same offset. The other blocks' bytes, grouped by core, go to external induced sorting with
    common-prefix lengths (induced.py), which says of each window whether it occurs twice.
 5. The spans of all windows found are united for each key, and each row with the key loses them.
 
@@ -35,6 +36,8 @@ from .induced import repeated_windows
 
 #: Bytes of a gram, windows of a block, bytes of text that are hashed at once, bytes of a shard for sorting, about.
 GRAM, BLOCK, SLICE, SHARD = 128, 32, 2 << 20, 4 << 20
+#: Blocks with one core from which on they are compared window by window, with partial aggregates, instead of sorted in one shard.
+HOT = 2_000
 #: An odd base of the rolling hash and the multipliers of its finish.
 BASE = 0x9E3779B97F4A7C15
 FINISH = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
@@ -180,6 +183,23 @@ def blocks(texts: DataFrame, open_runs: DataFrame, width: int) -> DataFrame:
     return one.mapInArrow(run, schema)
 
 
+def single_windows(left: DataFrame, width: int) -> DataFrame:
+    """Each window of blocks: (h, k1, k2, p, t, f), f a hash of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [x.as_py() for x in batch.column(5)]
+            n = np.array([len(r) - width + 1 for r in raws], np.int64)
+            row = np.repeat(np.arange(len(raws)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            f = [r.of(np.arange(k), np.arange(k) + width).view(np.int64) for r, k in zip(map(Rolling, raws), n, strict=True)]
+            h, k1, k2, p, t1 = (batch.column(i).to_numpy()[row] for i in range(5))
+            columns = [h, k1, k2, p, (t1 - at).astype(np.int32), np.concatenate(f) if f else np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "k2", "p", "t", "f"])
+
+    return left.select("h", "k1", "k2", "p", "t1", "bytes").mapInArrow(run, "h long, k1 long, k2 long, p long, t int, f long")
+
+
 def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[DataFrame, DataFrame]:
     """(k1, k2) of texts with copies, and (k1, k2, spans) of the others that lose bytes."""
     every = scratch.keep(all_runs(docs, width, gram))
@@ -193,7 +213,7 @@ def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[Dat
     settled = scratch.keep(twice(near, *same).withColumnRenamed("twice", "whole"))
     cover = F.struct((F.col("p") - F.col("t1")).alias("a"), (F.col("p") - F.col("t0") + width).alias("b"))
     first = near.join(settled.filter("whole").select(*same), same).select("k1", "k2", cover.alias("s"))
-    open_runs = unsettled(near, settled, same, ["h"]).select("h", "k1", "k2", "p", "t0", "t1").distinct()
+    open_runs = unsettled(near, settled, same, ["h"]).select("h", "k1", "k2", "p", "t0", "t1")  # blocks() takes each once
 
     # A text with copies goes whole, and one copy of its bytes is enough to find others.
     cut = scratch.keep(blocks(rows.dropDuplicates(["k1", "k2"]), open_runs, width))
@@ -204,6 +224,10 @@ def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[Dat
     second = places.join(whole.filter("whole").select(*same), same).select("k1", "k2", cover.alias("s"))
     left = unsettled(cut, whole, same, group).join(core, group, "left_semi")
     left = scratch.keep(left.select("h", "b", "core", "k1", "k2", "p", "t1", "bytes"))
+    hot = scratch.keep(left.groupBy(*group).count().filter(F.col("count") >= HOT).select(*group))
+    windows = scratch.keep(single_windows(left.join(hot, group, "left_semi"), width))
+    fourth = windows.join(twice(windows, "h", "t", "f").filter("twice").select("h", "t", "f"), ["h", "t", "f"]).select("k1", "k2", F.struct((F.col("p") - F.col("t")).alias("a"), (F.col("p") - F.col("t") + width).alias("b")).alias("s"))
+    left = scratch.keep(left.join(hot, group, "left_anti"))
     size = left.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
 
@@ -220,7 +244,7 @@ def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[Dat
 
     third = left.withColumn("shard", F.pmod(F.xxhash64("h", "b", "core"), F.lit(shards))).groupBy("shard").applyInArrow(work, "k1 long, k2 long, a long, b long")
     third = third.select("k1", "k2", F.struct("a", "b").alias("s"))
-    lost = first.unionByName(second).unionByName(third).distinct().groupBy("k1", "k2").agg(F.collect_list("s").alias("spans"))
+    lost = first.unionByName(second).unionByName(third).unionByName(fourth).distinct().groupBy("k1", "k2").agg(F.collect_list("s").alias("spans"))
     return copied, scratch.keep(lost)
 
 
