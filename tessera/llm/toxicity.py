@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices
 
 #: Bounds of the labelled sample; the hash tables' rows, embedding and filters of each width; documents a step, steps, rates.
-POSITIVES, NEGATIVES = 4_000, 8_000
+POSITIVES, NEGATIVES = 2_000, 3_000
 #: Documents of the fitting sample that a word has to be in; others say nothing.
 LEAST_DOCS = 8
 ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
@@ -81,7 +81,11 @@ def language(words: np.ndarray) -> int:
 
 def frequent(docs: list[np.ndarray], least: int = LEAST_DOCS) -> np.ndarray:
     """Sorted hashes of the words in at least `least` documents."""
-    words, count = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+    words, count = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+    for at in range(0, len(docs), 500):  # merged in parts, to hold little at once
+        own, n = np.unique(np.concatenate([np.unique(d) for d in docs[at : at + 500]]), return_counts=True)
+        words, back = np.unique(np.concatenate([words, own]), return_inverse=True)
+        count = np.bincount(back, np.concatenate([count, n]), len(words)).astype(np.int32)
     return words[(count >= least) & (words != 0)]
 
 
@@ -229,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, seen: str) -> Model | None:
         return None
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    rows = words_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")).collect()
-    rows = sorted({r[0]: bytes(r[1]) for r in rows}.items())
+    found = words_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")).toArrow()
+    rows = sorted({i.as_py(): w.as_py() for i, w in zip(found.column("doc_id"), found.column("words"), strict=True)}.items())
+    del found
     texts = [np.frombuffer(w, np.uint32).reshape(-1, KINDS) for _, w in rows]
     toxic = np.array([chosen[i] for i, _ in rows], np.float32)
     held = np.array([zlib.crc32(b"calibrate%d" % i) % 4 == 0 for i, _ in rows])
