@@ -137,10 +137,10 @@ def twice(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).select(*by, (F.col("lo") != F.col("hi")).alias("twice"), "lo")
 
 
-def unsettled(rows: DataFrame, settled: DataFrame, by: list[str], group: list[str]) -> DataFrame:
+def unsettled(rows: DataFrame, settled: DataFrame, by: list[str], group: list[str], scratch: Scratch) -> DataFrame:
     """rows that are not whole, and of the equal rows that are, the one in the least place where its group has others: their match may lie in it."""
     joined = rows.join(settled, by).filter((~F.col("whole")) | (F.struct("k1", "k2", "p") == F.col("lo"))).drop("lo")
-    others = settled.filter("not whole").select(*group).distinct()
+    others = scratch.keep(settled.filter("not whole").select(*group).distinct())
     return joined.join(others, group, "left_semi")
 
 
@@ -205,7 +205,8 @@ def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[Dat
     every = scratch.keep(all_runs(docs, width, gram))
     rows = keyed_texts(docs, width, others=False)
     copied = scratch.keep(rows.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2", F.lit(True).alias("copied")))
-    anchors = twice(every, "h").filter("twice").select("h")
+    # Small sides of joins by anchor are written out first: an aggregate right below a join keeps AQE from splitting a hot anchor.
+    anchors = scratch.keep(twice(every, "h").filter("twice").select("h"))
     near = every.join(anchors, "h")
     near = scratch.keep(near)
     scratch.drop(every)
@@ -213,16 +214,16 @@ def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[Dat
     settled = scratch.keep(twice(near, *same).withColumnRenamed("twice", "whole"))
     cover = F.struct((F.col("p") - F.col("t1")).alias("a"), (F.col("p") - F.col("t0") + width).alias("b"))
     first = near.join(settled.filter("whole").select(*same), same).select("k1", "k2", cover.alias("s"))
-    open_runs = unsettled(near, settled, same, ["h"]).select("h", "k1", "k2", "p", "t0", "t1")  # blocks() takes each once
+    open_runs = unsettled(near, settled, same, ["h"], scratch).select("h", "k1", "k2", "p", "t0", "t1")  # blocks() takes each once
 
     # A text with copies goes whole, and one copy of its bytes is enough to find others.
     cut = scratch.keep(blocks(rows.dropDuplicates(["k1", "k2"]), open_runs, width))
     places = cut.drop("bytes")
     same, group = ["h", "b", "t0", "t1", "f", "core"], ["h", "b", "core"]
-    whole = twice(places, *same).withColumnRenamed("twice", "whole")
-    core = twice(places, *group).filter("twice").select(*group)
+    whole = scratch.keep(twice(places, *same).withColumnRenamed("twice", "whole"))
+    core = scratch.keep(twice(places, *group).filter("twice").select(*group))
     second = places.join(whole.filter("whole").select(*same), same).select("k1", "k2", cover.alias("s"))
-    left = unsettled(cut, whole, same, group).join(core, group, "left_semi")
+    left = unsettled(cut, whole, same, group, scratch).join(core, group, "left_semi")
     left = scratch.keep(left.select("h", "b", "core", "k1", "k2", "p", "t1", "bytes"))
     hot = scratch.keep(left.groupBy(*group).count().filter(F.col("count") >= HOT).select(*group))
     windows = scratch.keep(single_windows(left.join(hot, group, "left_semi"), width))
