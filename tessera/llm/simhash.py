@@ -11,6 +11,10 @@ outside. No pair is lost, and the overlap is two of the 65 distances, not a shel
 then joined by the same recursion down to small blocks that are compared outright. A shard reports a spanning forest of
 its links, never its pairs: one edge a point at most.
 
+The stage form (representatives) links by the exact Jaccard similarity of whole shingle sets. Its radius would be too wide for a partition of
+64-bit Hamming space, so its candidates share a key of LSH bands over least hashes. Members of a bucket first meet its pivots; those not
+joined to the bucket's largest component then meet all members, so that no candidate pair between components goes unverified.
+
 Null text is empty text: fingerprint zero, linked like any other. Null ids are kept, and take their group's smallest known id
 (null if there is none). Repeated rows are all returned. An empty table gives no rows. Other columns are not read.
 """
@@ -30,6 +34,8 @@ from .common import Scratch, byte_slices, components, fresh
 #: Points in the sample that the top of the tree is built on, points in a shard (more only where the tree is full), most shards, and points of a block.
 SAMPLE, SHARD, SHARDS, BLOCK = 16_384, 4_000, 4096, 96
 SLICE = 4 << 20
+#: Stage form: LSH bands, least hashes of a band (a pair at 0.8 shares no band with chance (1 - 0.8**5)**30 = 7e-6), turns of pivots.
+BANDS, DEEP, PIVOTS = 30, 5, 2
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -233,17 +239,114 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return marked.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs with one row of each group left: that of the smallest id (nulls last), the first of repeated rows.
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row, k1, k2, n, bands) of docs(doc_id, text, row): a 128-bit name and the size of the set of shingles, its keys in LSH bands."""
+    make = np.random.default_rng(17)
+    flips = make.integers(0, 1 << 64, BANDS * DEEP, np.uint64)
+    factors = make.integers(0, 1 << 64, BANDS * DEEP, np.uint64) | np.uint64(1)
+
+    def keys(each: list[np.ndarray]) -> np.ndarray:
+        flat, starts = np.concatenate(each), np.cumsum([0] + [len(e) for e in each[:-1]])
+        out = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(each), 0)
+        for k in range(BANDS * DEEP):
+            least = np.minimum.reduceat((flat ^ flips[k]) * factors[k], starts)
+            own = (out[:, k // DEEP] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            out[:, k // DEEP] = own ^ (own >> np.uint64(29))
+        return out.view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+            for a, b in byte_slices(pc.binary_length(texts).to_numpy(), SLICE):
+                each = [shingles(raw, words) for raw in texts.slice(a, b - a).to_pylist()]
+                full = [e for e in each if len(e)]
+                flat = keys(full).ravel() if full else np.zeros(0, np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [BANDS * (len(e) > 0) for e in each]), pa.int32()), pa.array(flat))
+                name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(e.tobytes()) for e in each), np.int64).reshape(-1, 2)
+                sizes = pa.array([len(e) for e in each], pa.int64())
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), sizes, bands], ["doc_id", "row", "k1", "k2", "n", "bands"])
+
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, k1 long, k2 long, n long, bands array<long>")
+
+
+def shingles(raw: bytes, words: int) -> np.ndarray:
+    """The set of a text's hashed shingles, sorted."""
+    return np.unique(np.array(hashes(raw, words), np.uint64))
+
 
-    docs has to be read from files (or be as steady), as its rows are numbered twice.
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(uid, hashes) of docs(uid, text): the sorted hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+            for a, b in byte_slices(pc.binary_length(texts).to_numpy(), SLICE):
+                found = [shingles(raw, words).tobytes() for raw in texts.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["uid", "hashes"])
+
+    return docs.select("uid", "text").mapInArrow(run, "uid long, hashes binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) whose sets have a Jaccard similarity of at least similarity, computed from the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                stay.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    left = sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_sets(points: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, component) of the points(uid, n, bands) with links of at least similarity; texts(uid, text)."""
+    keyed = points.select("uid", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    member = scratch.keep(keyed.join(shared, "key").select("key", "uid", "n", "pivot"))
+    sets = scratch.keep(shingle_sets(texts.join(member.select("uid").distinct(), "uid", "left_semi"), words))
+    links = scratch.keep(verified(member.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), sets, similarity))
+
+    for turn in range(PIVOTS + 1):
+        named = member.join(components(links, scratch).withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("c"))
+        named = scratch.keep(named)
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("uid", F.xxhash64("uid", F.lit(turn))).alias("pivot")).filter("low <> high")
+        inside = scratch.keep(named.join(mixed.select("key", "pivot"), "key"))
+        if turn < PIVOTS:  # one more member of a bucket meets all others: one row a member
+            own = inside.filter("uid = pivot").select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+        else:  # all members outside the bucket's largest component meet all members
+            large = inside.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("large"))
+            own = inside.join(large, "key").filter("c <> large").select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+        near = (F.col("c") != F.col("ac")) & (F.least("n", "an") >= similarity * F.greatest("n", "an") - 1e-9)
+        pairs = own.join(inside, "key").filter(near).select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
+        links = links.unionByName(scratch.keep(verified(pairs, sets, similarity)))
+        scratch.drop(named)
+    return components(links, scratch)
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs with one row of each group of near copies left: that of the smallest id (nulls last), the first of repeated rows.
+
+    Near copies are texts whose sets of shingles have a Jaccard similarity of at least similarity. docs has to be read from files (or be as
+    steady), as its rows are numbered twice.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     row = fresh(docs, "row_number")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    marked = scratch.keep(fingerprints(numbered.select("doc_id", "text", F.col(row).alias("row")), words))
+    marked = scratch.keep(signed(numbered.select("doc_id", "text", F.col(row).alias("row")), words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
-    # The least row of each fingerprint first: a fingerprint of a third of all rows is one row before the join.
-    each = marked.groupBy("fp").agg(first).join(grouped(marked, radius, scratch), "fp")
-    stay = scratch.keep(each.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
+    # Equal sets are one point, named by its least row: a set of a third of all rows is one row before the joins.
+    each = marked.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    points = scratch.keep(each.select(F.col("first.row").alias("uid"), "first", "n", "bands"))
+    found = similar_sets(points.select("uid", "n", "bands"), numbered.select(F.col(row).alias("uid"), "text"), words, similarity, scratch)
+    group = points.join(found.withColumnRenamed("node", "uid"), "uid", "left").groupBy(F.coalesce("component", "uid"))
+    stay = scratch.keep(group.agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
     return numbered.join(stay, row, "left_semi").drop(row)

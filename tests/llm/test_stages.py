@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import pii, simhash
 
 
@@ -15,3 +17,25 @@ def test_representatives(documents):
     rows = [(5, "one two three four"), (3, "ONE two three  four"), (3, "one two three four"), (None, "other words here now"), (9, "")]
     got = simhash.representatives(documents(rows)).collect()
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 3, 9]
+
+
+def test_representatives_against_brute_force(documents):
+    make = random.Random(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{make.randrange(5000)}" for _ in range(make.choice([3, 6, 40, 150, 400]))]
+        for _ in range(make.randrange(1, 6)):  # chains: each an edit of the one before
+            texts.append(" ".join(base))
+            base = list(base)
+            for _ in range(make.randrange(1, 1 + max(1, len(base) // 60) * 2)):
+                base[make.randrange(len(base))] = f"w{make.randrange(5000)}"
+    make.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = simhash.representatives(documents(list(enumerate(texts)))).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(group))
