@@ -5,9 +5,11 @@ of its beginnings, so that other forms of a word share what is learned. Filters
 logistic layer. For scoring, the product of each table with each filter is made once in a worker; a filter is then a sum of look-ups.
 
 Labels. Fitting takes at most POSITIVES and NEGATIVES labelled documents (a bounded sample in hash order of the ids, documented
-parameters; all where there are fewer) of those the caller allows. Only hashed words leave the executors. Thresholds: a text's language is
-guessed from its own function words (the lang column is never read); on a part of the sample that fitting doesn't see, the best
-threshold of each language is found, drawn towards the common one where there are few labels, and scores are bent so that it lies at `cut`.
+parameters; all where there are fewer) of three quarters of those the caller allows. Only hashed words leave the executors. Thresholds: a text's
+language is guessed from its own function words (the lang column is never read). All documents are scored in the executors; the allowed labelled
+ones that fitting did not see are counted by language and score, each class weighted to its true share of all allowed labels. So the thresholds
+don't depend on the bounds of the sample. The best threshold of each language is drawn towards the common one where there are few labels, and
+scores are bent so that it lies at `cut`.
 
 Null text is empty text, and has a score as any other. Null ids are kept, and are held out of nothing; labels with nulls are left out,
 of several labels for an id the largest holds. Without both labels in the sample every score is 0. Repeated rows are all
@@ -22,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import byte_slices
+from .common import Scratch, byte_slices, fresh
 
 #: Bounds of the labelled sample; the hash tables' rows, embedding and filters of each width; documents a step, steps, rates.
-POSITIVES, NEGATIVES = 2_000, 3_000
+POSITIVES, NEGATIVES = 3_000, 6_000
 #: Documents of the fitting sample that a word has to be in; others say nothing.
 LEAST_DOCS = 8
 ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
@@ -37,6 +40,8 @@ BEGINNINGS = (4, 5, 6, 7)
 KINDS = 1 + len(BEGINNINGS)
 BATCH, STEPS, RATE = 64, 800, 0.05
 SLICE = 2 << 20
+#: Thresholds that are tried, close to each other near 0 and 1, as scores before the bend crowd there.
+GRID = 1 / (1 + np.exp(-np.linspace(-8, 8, 161)))
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 #: Frequent function words.
 FUNCTION_WORDS = {
@@ -189,28 +194,29 @@ class Model:
             self.products = [[self.table @ f[j] for j in range(w)] for w, f in zip(WIDTHS, self.filters, strict=True)]
         return self.products
 
-    def calibrate(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
-        """The threshold with the fewest errors, for all and by language; a clean document lost counts twice."""
-        scores, kinds = self.raw_scores(docs), np.array([language(d) for d in docs])
-        grid = np.linspace(0.02, 0.98, 97)
+    def calibrate(self, counts: np.ndarray) -> None:
+        """The threshold with the fewest errors, for all and by language; a clean document lost counts twice.
 
-        def wrong(who: np.ndarray) -> np.ndarray:
-            toxic = labels[who] == 1
-            return np.array([2 * ((scores[who] >= t) & ~toxic).sum() + ((scores[who] < t) & toxic).sum() for t in grid], float)
+        counts: labelled documents by language, toxic, seen in fitting, and thresholds at or below the score.
+        """
+        every, own = counts.sum((0, 2, 3)), counts[:, :, 0].astype(float)
+        unseen = own.sum((0, 2))
+        if unseen.all():
+            own *= (every / unseen * unseen.sum() / every.sum())[None, :, None]
+        else:
+            own = counts.sum(2).astype(float)
+
+        def wrong(by: np.ndarray) -> np.ndarray:
+            return 2 * (by[0].sum() - np.cumsum(by[0])[:-1]) + np.cumsum(by[1])[:-1]
 
         def middle(costs: np.ndarray) -> float:
-            return float(np.median(grid[costs <= costs.min() + 1e-9]))
+            return float(np.median(GRID[costs <= costs.min() + 1e-9]))
 
-        every = wrong(np.arange(len(labels)))
-        self.bend[:] = middle(every)
+        common = wrong(own.sum(0))
+        self.bend[:] = middle(common)
         for k in range(1, len(LANGUAGES)):
-            who = np.flatnonzero(kinds == k)
-            if len(who) and 0 < labels[who].sum() < len(who):
-                self.bend[k] = middle(wrong(who) + every * 20 / len(labels))
-
-    def scores(self, docs: list[np.ndarray], cut: float) -> np.ndarray:
-        raw, at = self.raw_scores(docs), self.bend[[language(d) for d in docs]] if docs else np.zeros(0)
-        return np.where(raw < at, cut * raw / at * (1 - 1e-9), cut + (1 - cut) * (raw - at) / (1 - at))
+            if own[k].sum(1).all():
+                self.bend[k] = middle(wrong(own[k]) + common * 20 / own.sum())
 
 
 def words_of(docs: DataFrame) -> DataFrame:
@@ -224,61 +230,91 @@ def words_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, seen: str) -> Model | None:
-    """The model of labels(doc_id, toxic) where the SQL predicate seen holds; None without both labels."""
-    known = labels.filter(f"doc_id is not null and toxic in (0, 1) and ({seen})").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def allowed(labels: DataFrame, seen: str) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt from, one row an id."""
+    return labels.filter(f"doc_id is not null and toxic in (0, 1) and ({seen})").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, known: DataFrame, scratch: Scratch) -> tuple[Model | None, list[int]]:
+    """The model of known(doc_id, toxic), not calibrated, and the ids it was fitted to; None without both labels."""
     order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = {r[0]: r[1] for k, n in ((1, POSITIVES), (0, NEGATIVES)) for r in known.filter(F.col("toxic") == k).orderBy(*order).limit(n).collect()}
-    if len(set(chosen.values())) < 2:
-        return None
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    found = words_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")).toArrow()
-    rows = sorted({i.as_py(): w.as_py() for i, w in zip(found.column("doc_id"), found.column("words"), strict=True)}.items())
-    del found
-    texts = [np.frombuffer(w, np.uint32).reshape(-1, KINDS) for _, w in rows]
-    toxic = np.array([chosen[i] for i, _ in rows], np.float32)
-    held = np.array([zlib.crc32(b"calibrate%d" % i) % 4 == 0 for i, _ in rows])
+    unseen = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string"))) % 4 == 0
+    for rows in (known.filter(~unseen), known):  # all of them only where three quarters lack a label
+        chosen = {r[0]: r[1] for k, n in ((1, POSITIVES), (0, NEGATIVES)) for r in rows.filter(F.col("toxic") == k).orderBy(*order).limit(n).collect()}
+        spark = docs.sparkSession
+        ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+        # Written first, then read a part at a time, so that the driver's JVM never holds the sample.
+        found = scratch.keep(words_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")))
+        words = {r[0]: np.frombuffer(r[1], np.uint32).reshape(-1, KINDS) for r in found.toLocalIterator()}
+        scratch.drop(found)
+        own = sorted(words)
+        toxic = np.array([chosen[i] for i in own], np.float32)
+        if 0 < toxic.sum() < len(toxic):
+            break
+    else:
+        return None, []
     model = Model()
-    model.fit([t for t, h in zip(texts, held, strict=True) if not h], toxic[~held]) if 0 < toxic[~held].sum() < (~held).sum() else model.fit(texts, toxic)
-    use = held if 0 < toxic[held].sum() < held.sum() else np.ones(len(toxic), bool)
-    model.calibrate([t for t, h in zip(texts, use, strict=True) if h], toxic[use])
-    return model
+    model.fit([words[i] for i in own], toxic)
+    return model, own
 
 
-def scored(fitted: Model | None, column: pa.Array, cut: float) -> np.ndarray:
-    """Score of each text of a batch."""
+def scored(fitted: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Score before the bend and language of each text of a batch."""
     texts = pc.fill_null(column.cast(pa.large_binary()), b"")
-    parts = [np.zeros(0)]
+    raw, kinds = [np.zeros(0)], [np.zeros(0, np.int32)]
     for a, b in byte_slices(pc.binary_length(texts).to_numpy(), SLICE):
-        words = [hashed(raw) for raw in texts.slice(a, b - a).to_pylist()]
-        parts.append(fitted.scores(words, cut) if fitted else np.zeros(len(words)))
-    return np.concatenate(parts)
+        words = [hashed(x) for x in texts.slice(a, b - a).to_pylist()]
+        raw.append(fitted.raw_scores(words))
+        kinds.append(np.array([language(w) for w in words], np.int32))
+    return np.concatenate(raw), np.concatenate(kinds)
 
 
-def classify(docs: DataFrame, labels: DataFrame, seen: str = "crc32(cast(doc_id as string)) % 3 <> 1", cut: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of docs(doc_id, text); held_out: the predicate seen doesn't hold."""
-    spark = docs.sparkSession
-    model = fit(docs, labels, seen)
-    sent = spark.sparkContext.broadcast(model)
+def calibrated(model: Model, rows: DataFrame, names: tuple[str, str], known: DataFrame, fitted: list[int]) -> None:
+    """Sets the thresholds from rows(doc_id and names: score before the bend, language) of all documents."""
+    raw, kind = names
+    ids = rows.sparkSession.createDataFrame([(i, 1) for i in fitted], "doc_id long, seen int")
+    steps = F.array(*[F.lit(float(t)) for t in GRID])
+    place = F.size(F.filter(steps, lambda t: t <= F.col(raw)))
+    of = rows.select("doc_id", F.col(kind).alias("kind"), place.alias("place")).join(known, "doc_id").join(F.broadcast(ids), "doc_id", "left")
+    counts = np.zeros((len(LANGUAGES), 2, 2, len(GRID) + 1), np.int64)
+    for r in of.groupBy("kind", "toxic", F.coalesce("seen", F.lit(0)), "place").count().collect():
+        counts[tuple(r[:4])] = r[4]
+    model.calibrate(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
-        for batch in batches:
-            score = scored(fitted, batch.column(1), cut)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
-    return found.select("doc_id", F.coalesce(F.expr(f"not ({seen})"), F.lit(False)).alias("held_out"), "score", "predicted")
+def classify(docs: DataFrame, labels: DataFrame, seen: str = "crc32(cast(doc_id as string)) % 3 <> 1", cut: float = 0.7) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of docs(doc_id, text); held_out: the predicate seen doesn't hold."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    told = F.coalesce(F.expr(f"not ({seen})"), F.lit(False)).alias("held_out")
+    rows, score = with_scores(docs.select("doc_id", "text"), labels, seen, cut, scratch, keep=["doc_id"])
+    return rows.select("doc_id", told, score.alias("score"), (score >= cut).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, seen: str = "crc32(cast(doc_id as string)) % 3 <> 1", cut: float = 0.7) -> DataFrame:
     """The rows of docs that score under cut, with all of their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, seen))
+    rows, score = with_scores(docs, labels, seen, cut, Scratch(docs.sparkSession, "toxicity"), keep=docs.columns)
+    return rows.filter(score < cut).select(*docs.columns)
+
+
+def with_scores(docs: DataFrame, labels: DataFrame, seen: str, cut: float, scratch: Scratch, keep: list[str]) -> tuple[DataFrame, Column]:
+    """The columns keep of docs, each text read once, and the expression of its score."""
+    known = allowed(labels, seen)
+    model, fitted = fit(docs, known, scratch)
+    if model is None:
+        return docs.select(*keep), F.lit(0.0)
+    names = (fresh(docs, "raw_score"), fresh(docs, "language_place"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scored(sent.value, batch.column(at), cut) < cut))
-
-    return docs.mapInArrow(run, docs.schema)
+            raw, kinds = scored(sent.value, batch.column(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(docs_at[k]) for k in keep), pa.array(raw), pa.array(kinds, pa.int32())], [*keep, *names])
+
+    docs_at = {k: i for i, k in enumerate(docs.columns)}
+    schema = StructType([*(docs.schema[k] for k in keep), StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    rows = scratch.keep(docs.mapInArrow(run, schema))
+    calibrated(model, rows, names, known, fitted)
+    bend = F.element_at(F.array(*[F.lit(float(x)) for x in model.bend]), F.col(names[1]) + 1)
+    raw = F.col(names[0])
+    return rows, F.when(raw < bend, cut * raw / bend * (1 - 1e-9)).otherwise(cut + (1 - cut) * (raw - bend) / (1 - bend))
