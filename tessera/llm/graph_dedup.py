@@ -1,8 +1,10 @@
 """Near-duplicate embeddings within a label, by robust-pruned graphs over overlapping clusters.
 
 Equal vectors of a label are one point with a number of copies. A label with over CELL points gets medoids, well-separated points of a
-bounded sample; each point is a member of the cells of its OVERLAP nearest medoids, and a query in its nearest one. A cell of over CELL
-members, as one tight group may be, is dealt into blocks by hash, and each block of members meets each block of queries.
+bounded sample; each point is a query in the cell of its nearest medoid, and a member of every cell whose medoid's angle is within
+the nearest angle plus twice the link angle. By the triangle inequality no link is lost between cells, whatever the medoids are. Where vectors
+are spread evenly in many dimensions that is most cells, and the work grows with the square of a label. A cell of over 2 * CELL members is dealt
+into blocks by hash, and each block of members meets each block of queries.
 
 In a task: members are clustered again with overlap, in each cluster the nearest candidates of each point are robust-pruned
 (a candidate goes if a kept neighbour is nearer to it by the factor ALPHA), the clusters' adjacency lists are united, with
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 from .simhash import Forest
 
-#: Points of a cell, most medoids of all labels, cells of a point, cosine at which two medoids are too near each other.
-CELL, MEDOIDS, OVERLAP, APART = 4_000, 32_768, 3, 0.8
+#: Points of a cell, most medoids of all labels, cosine at which two medoids are too near each other, rows dealt at once.
+CELL, MEDOIDS, APART, DEALT = 4_000, 32_768, 0.8, 16_384
 #: Points of a cluster in a task, candidates and neighbours of a point, the pruning factor, hops of the greedy walk, queries at once.
 CLUSTER, CANDIDATES, DEGREE, ALPHA, HOPS, QUERIES = 500, 48, 24, 1.2, 12, 256
 AUDIT, RECALL = 48, 0.99
@@ -53,6 +55,14 @@ def nearest(points: np.ndarray, medoids: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :k]
 
 
+def cells_of(points: np.ndarray, medoids: np.ndarray, cosine: float) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(point, cell) of all cells in which a query may link to the point, and whether it is the point's own."""
+    angle = np.arccos(np.clip(points @ medoids.T, -1, 1))
+    own = angle.argmin(1)
+    pairs = np.nonzero(angle <= angle.min(1, keepdims=True) + 2 * np.arccos(cosine) + 1e-6)
+    return pairs, own[pairs[0]] == pairs[1]
+
+
 def pruned(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(from, to) of the robust-pruned neighbours among points."""
     n = len(points)
@@ -209,19 +219,29 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
                 groups.setdefault(key, []).append(i)
             for key, who in groups.items():
                 if key not in medoids:
-                    got = np.zeros((len(who), 1), np.int64)
-                else:
-                    got = nearest(unit(batch.column(4).take(pa.array(who))), medoids[key], min(OVERLAP, len(medoids[key])))
-                row += np.repeat(who, got.shape[1]).tolist()
-                cells += got.ravel().tolist()
-                home += ([True] + [False] * (got.shape[1] - 1)) * len(who)
-            some = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(cells, pa.int32()), pa.array(home), some.column(3), some.column(4)], ["uid", "label", "dim", "cell", "home", "copies", "embedding"])
+                    row.append(np.array(who))
+                    cells.append(np.zeros(len(who), np.int64))
+                    home.append(np.ones(len(who), bool))
+                    continue
+                step = max(1, (1 << 22) // len(medoids[key]))
+                for at in range(0, len(who), step):
+                    some = np.array(who[at : at + step])
+                    own, c = cells_of(unit(batch.column(4).take(pa.array(some))), medoids[key], cosine)
+                    row.append(some[own[0]])
+                    cells.append(own[1])
+                    home.append(c)
+            row, cells, home = np.concatenate(row), np.concatenate(cells), np.concatenate(home)
+            for at in range(0, len(row), DEALT):
+                some, to = batch.take(pa.array(row[at : at + DEALT])), slice(at, at + DEALT)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(cells[to], pa.int32()), pa.array(home[to]), some.column(3), some.column(4)], ["uid", "label", "dim", "cell", "home", "copies", "embedding"])
 
     dealt = scratch.keep(points.select("uid", "label", "dim", "copies", "embedding").mapInArrow(deal, schema))
-    large = dealt.groupBy("label", "dim", "cell").count().filter(F.col("count") > 2 * CELL).select("label", "dim", "cell", F.ceil(F.col("count") / CELL).cast("int").alias("blocks"))
-    cut = dealt.join(large, ["label", "dim", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    sides = F.explode(F.expr("filter(flatten(transform(sequence(0, blocks - 1), i -> array(struct(own as point, i as query, true as member), struct(i as point, own as query, false as member)))), s -> s.member or home)")).alias("s")
+    blocks = [F.greatest(F.lit(1), F.ceil(n / CELL)).cast("int").alias(k) for k, n in (("ms", F.count("*")), ("qs", F.sum(F.col("home").cast("int"))))]
+    large = dealt.groupBy("label", "dim", "cell").agg(*blocks).filter("ms > 2")
+    cut = dealt.join(large, ["label", "dim", "cell"], "left").withColumns({k: F.coalesce(k, F.lit(1)) for k in ("ms", "qs")}).withColumn("h", F.xxhash64("uid"))
+    points_of = "transform(sequence(0, qs - 1), i -> struct(cast(pmod(h, ms) as int) as point, i as query, true as member))"
+    queries_of = "transform(sequence(0, ms - 1), i -> struct(i as point, cast(pmod(h, qs) as int) as query, false as member))"
+    sides = F.explode(F.expr(f"if(home, concat({points_of}, {queries_of}), {points_of})")).alias("s")
     tasks = cut.select("uid", "label", "dim", "cell", "copies", "embedding", sides).select("uid", "label", "dim", "cell", "copies", "embedding", "s.point", "s.query", "s.member")
 
     def work(group: pa.Table) -> pa.Table:
