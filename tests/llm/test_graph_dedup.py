@@ -15,3 +15,15 @@ def test_links_against_brute_force(spark, monkeypatch, cell):
     docs = spark.createDataFrame([(i, p, 0) for i, p in enumerate(points.tolist())], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: r["n_links"] for r in graph_dedup.near_vectors(docs).collect()}
     assert links.sum() > 500 and [got[i] for i in range(len(points))] == links.tolist()
+
+
+def test_a_walk_without_links_to_audit_is_not_trusted(monkeypatch):
+    monkeypatch.setattr(graph_dedup, "search", lambda queries, points, built, cosine: queries @ points.T > 1 - 1e-9)
+    points = np.random.default_rng(2).normal(size=(2000, 24))
+    points[1000] = points[0] + 0.05
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    # Points of the audit have no copies among them: only the pair outside of it links.
+    audit = np.random.default_rng(0).permutation(2000)[: graph_dedup.AUDIT]
+    assert 0 not in audit and 1000 not in audit
+    counts, tree = graph_dedup.link(points, np.ones(2000, np.int64), points, np.arange(2000), 0.93)
+    assert counts[0] == counts[1000] == 1 and tree[0] == tree[1000]
