@@ -21,6 +21,7 @@ empty table gives no rows; other columns pass through `kept_texts` untouched and
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -34,14 +35,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import Scratch, byte_slices, recounted
 from .induced import repeated_windows
 
-#: Bytes of a gram, windows of a block, bytes of text that are hashed at once, bytes of a shard for sorting, about.
-GRAM, BLOCK, SLICE, SHARD = 128, 32, 2 << 20, 4 << 20
+#: Bytes of a gram, windows of a block, bytes of text that are hashed at once (of a long text too; about 15 words of 8 bytes each are held), bytes of a shard for sorting, about.
+GRAM, BLOCK, SLICE, SHARD = 128, 32, 256 << 10, 1 << 20
 #: Blocks with one core from which on they are compared window by window, with partial aggregates, instead of sorted in one shard.
 HOT = 2_000
 #: An odd base of the rolling hash and the multipliers of its finish.
 BASE = 0x9E3779B97F4A7C15
 FINISH = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-PLACE = 24
+#: Bits of a place in what is hashed at once: up to two slices, with what windows reach beyond a part.
+PLACE = 20
 RUNS = "h long, k1 long, k2 long, p long, t0 int, t1 int, f long"
 
 
@@ -51,18 +53,20 @@ def key_of(raw: bytes) -> tuple[int, int]:
 
 
 class Rolling:
-    """Hashes of any stretches of a byte string, from prefix sums."""
+    """Hashes of any stretches of a byte string of up to 2**PLACE bytes, from prefix sums."""
 
     def __init__(self, raw: bytes):
         text = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
         self.sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(text * self.powers(BASE, len(text)), out=self.sums[1:])
-        self.back = self.powers(pow(BASE, -1, 1 << 64), len(text) + 1)
+        np.cumsum(text * self.powers(BASE)[: len(text)], out=self.sums[1:])
+        self.back = self.powers(pow(BASE, -1, 1 << 64))
 
     @staticmethod
-    def powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[:1] = 1
+    @functools.cache
+    def powers(base: int) -> np.ndarray:
+        """Made once in a worker."""
+        out = np.full((1 << PLACE) + 1, base, np.uint64)
+        out[0] = 1
         return np.multiply.accumulate(out)
 
     def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -107,9 +111,8 @@ def long_slices(texts: pa.Array, width: int, limit: int) -> Iterator[tuple[list[
 
 def parts_of(raw: bytes, width: int) -> Iterator[tuple[int, bytes]]:
     """(place, bytes) of parts that hold each window of width bytes once, small enough for places in PLACE bits."""
-    most = (1 << PLACE) - (4 << 20)
-    for at in range(0, max(1, len(raw) - width + 1), most):
-        yield at, raw[at : at + most + width - 1]
+    for at in range(0, max(1, len(raw) - width + 1), SLICE):
+        yield at, raw[at : at + SLICE + width - 1]
 
 
 def all_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -121,7 +124,7 @@ def all_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
             for raws, _ in long_slices(texts, width, SLICE):
                 keys = np.array([key_of(r) for r in raws], np.int64)
                 parts = [(k, at, part) for k, r in enumerate(raws) for at, part in parts_of(r, width)]
-                for a, b in byte_slices([len(p[2]) for p in parts], 2 * SLICE):
+                for a, b in byte_slices([len(p[2]) for p in parts], SLICE + width):
                     text, p, first, last, h, f = runs([x[2] for x in parts[a:b]], width, gram)
                     own = np.array([x[0] for x in parts[a:b]])[text]
                     move = np.array([x[1] for x in parts[a:b]])[text]
@@ -164,21 +167,36 @@ def blocks(texts: DataFrame, open_runs: DataFrame, width: int) -> DataFrame:
     one = texts.select("k1", "k2", "raw").join(listed, ["k1", "k2"])
     schema = "h long, b int, k1 long, k2 long, p long, t0 int, t1 int, core long, f long, bytes binary"
 
+    def cut(held: list[tuple]) -> pa.RecordBatch:
+        """Blocks of runs (k1, k2, h, p, t0, t1, bytes); their bytes stand one after the other."""
+        joined = b"".join(x[6] for x in held)
+        rolling, out, begin = Rolling(joined), [], 0
+        for k1, k2, h, p, t0, t1, raw in held:
+            move = begin - (p - t1)  # from a place in the text to one in joined
+            for b in range(t0 // BLOCK, t1 // BLOCK + 1):
+                low, high = max(t0, BLOCK * b), min(t1, BLOCK * b + BLOCK - 1)
+                core = p - BLOCK * b + move
+                out.append((h, b, k1, k2, p, low, high, core, core - BLOCK + 1 + width, p - high + move, p - low + width + move))
+            begin += len(raw)
+        c = [np.array(x, np.int64) for x in zip(*out, strict=True)]
+        core, whole = rolling.of(c[7], c[8]).view(np.int64), rolling.of(c[9], c[10]).view(np.int64)
+        columns = [pa.array(c[0]), pa.array(c[1], pa.int32()), *(pa.array(x) for x in c[2:5]), pa.array(c[5], pa.int32()), pa.array(c[6], pa.int32()), pa.array(core), pa.array(whole), pa.array([joined[x[9] : x[10]] for x in out], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["h", "b", "k1", "k2", "p", "t0", "t1", "core", "f", "bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for row in range(batch.num_rows):
                 k1, k2, raw = (batch.column(i)[row].as_py() for i in range(3))
-                rolling, out = Rolling(raw), []
-                for r in batch.column(3)[row].as_py():
-                    p, t0, t1 = r["p"], r["t0"], r["t1"]
-                    for b in range(t0 // BLOCK, t1 // BLOCK + 1):
-                        low, high = max(t0, BLOCK * b), min(t1, BLOCK * b + BLOCK - 1)
-                        out.append((r["h"], b, p, low, high, p - BLOCK * b, p - BLOCK * b - BLOCK + 1 + width, p - high, p - low + width))
-                c = [np.array(x, np.int64) for x in zip(*out, strict=True)]
-                core, whole = rolling.of(c[5], c[6]).view(np.int64), rolling.of(c[7], c[8]).view(np.int64)
-                n = len(out)
-                columns = [pa.array(c[0]), pa.array(c[1], pa.int32()), pa.array([k1] * n), pa.array([k2] * n), pa.array(c[2]), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(core), pa.array(whole), pa.array([raw[x[7] : x[8]] for x in out], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "b", "k1", "k2", "p", "t0", "t1", "core", "f", "bytes"])
+                own = batch.column(3)[row].values.flatten()
+                for h, p, t0, t1 in zip(*(x.to_numpy().tolist() for x in own), strict=True):
+                    held.append((k1, k2, h, p, t0, t1, raw[p - t1 : p - t0 + width]))
+                    size += len(held[-1][6])
+                    if size >= SLICE:
+                        yield cut(held)
+                        held, size = [], 0
+        if held:
+            yield cut(held)
 
     return one.mapInArrow(run, schema)
 
