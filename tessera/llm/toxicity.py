@@ -5,7 +5,7 @@ of its beginnings, so that other forms of a word share what is learned. Filters
 logistic layer. For scoring, the product of each table with each filter is made once in a worker; a filter is then a sum of look-ups.
 
 Labels. Fitting takes at most POSITIVES and NEGATIVES labelled documents (a bounded sample in hash order of the ids, documented
-parameters; all where there are fewer) of three quarters of those the caller allows. Only hashed words leave the executors. Thresholds: a text's
+parameters, as is BYTES of their words; all where there are fewer) of three quarters of those the caller allows. One task of an executor trains; the driver gets the model. Thresholds: a text's
 language is guessed from its own function words (the lang column is never read). All documents are scored in the executors; the allowed labelled
 ones that fitting did not see are counted by language and score, each class weighted to its true share of all allowed labels. So the thresholds
 don't depend on the bounds of the sample. The best threshold of each language is drawn towards the common one where there are few labels, and
@@ -18,6 +18,7 @@ scored. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import Scratch, byte_slices, fresh
 
-#: Bounds of the labelled sample; the hash tables' rows, embedding and filters of each width; documents a step, steps, rates.
-POSITIVES, NEGATIVES = 3_000, 6_000
+#: Bounds of the labelled sample: documents of each label, and bytes of hashed words of each label (20 a word); the hash tables' rows, embedding and filters of each width; documents a step, steps, rates.
+POSITIVES, NEGATIVES, BYTES = 3_000, 6_000, 128 << 20
 #: Documents of the fitting sample that a word has to be in; others say nothing.
 LEAST_DOCS = 8
 ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
@@ -235,27 +236,49 @@ def allowed(labels: DataFrame, seen: str) -> DataFrame:
     return labels.filter(f"doc_id is not null and toxic in (0, 1) and ({seen})").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
+def chosen(sizes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of as many of sizes(doc_id, toxic, bytes), in their order, as fit in BYTES for each label; the first one of a label always does."""
+    out, held = [], [0, 0]
+    for i, toxic, size in sizes:
+        if held[toxic] and held[toxic] + size > BYTES:
+            continue
+        held[toxic] += size
+        out.append((i, toxic))
+    return out
+
+
 def fit(docs: DataFrame, known: DataFrame, scratch: Scratch) -> tuple[Model | None, list[int]]:
-    """The model of known(doc_id, toxic), not calibrated, and the ids it was fitted to; None without both labels."""
+    """The model of known(doc_id, toxic), not calibrated, and the ids it was fitted to; None without both labels.
+
+    The sample's words go to one task of an executor, which trains; only ids, sizes and the model come to the driver.
+    """
     order = [F.xxhash64("doc_id"), "doc_id"]
     unseen = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string"))) % 4 == 0
+    spark = docs.sparkSession
     for rows in (known.filter(~unseen), known):  # all of them only where three quarters lack a label
-        chosen = {r[0]: r[1] for k, n in ((1, POSITIVES), (0, NEGATIVES)) for r in rows.filter(F.col("toxic") == k).orderBy(*order).limit(n).collect()}
-        spark = docs.sparkSession
-        ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-        # Written first, then read a part at a time, so that the driver's JVM never holds the sample.
+        sample = {r[0]: r[1] for k, n in ((1, POSITIVES), (0, NEGATIVES)) for r in rows.filter(F.col("toxic") == k).orderBy(*order).limit(n).collect()}
+        ids = spark.createDataFrame([(i, int(t), n) for n, (i, t) in enumerate(sample.items())], "doc_id long, toxic int, place int")
         found = scratch.keep(words_of(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")))
-        words = {r[0]: np.frombuffer(r[1], np.uint32).reshape(-1, KINDS) for r in found.toLocalIterator()}
-        scratch.drop(found)
-        own = sorted(words)
-        toxic = np.array([chosen[i] for i in own], np.float32)
-        if 0 < toxic.sum() < len(toxic):
+        sizes = found.groupBy("doc_id").agg(F.max(F.octet_length("words")).alias("size")).join(F.broadcast(ids), "doc_id").orderBy("place").select("doc_id", "toxic", "size").collect()
+        own = chosen([tuple(r) for r in sizes])
+        if len({t for _, t in own}) == 2:
             break
+        scratch.drop(found)
     else:
         return None, []
-    model = Model()
-    model.fit([words[i] for i in own], toxic)
-    return model, own
+    told = spark.createDataFrame(own, "doc_id long, toxic int")
+
+    def train(group: pa.Table) -> pa.Table:
+        by_id = dict(zip(group.column("doc_id").to_pylist(), zip(group.column("words"), group.column("toxic").to_pylist(), strict=True), strict=True))
+        order_ = sorted(by_id)
+        words = [np.frombuffer(by_id[i][0].as_py(), np.uint32).reshape(-1, KINDS) for i in order_]
+        model = Model()
+        model.fit(words, np.array([by_id[i][1] for i in order_], np.float32))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    made = found.join(F.broadcast(told), "doc_id").groupBy(F.lit(0).alias("all")).applyInArrow(train, "model binary").first()
+    scratch.drop(found)
+    return pickle.loads(made[0]), [i for i, _ in own]
 
 
 def scored(fitted: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
