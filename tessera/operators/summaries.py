@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import exact_round
+
 
 def quantile_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, min, p10, median, p90, max), rounded to 4 places; position p * (n + 1), one row stands for all of its quantiles.
@@ -28,7 +30,7 @@ def quantile_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
         share = F.col("n") * k / 10 + F.lit(k) / 10 - lower(k)
         return F.when(F.col("n") == 1, F.col("low")).otherwise(F.col(f"q{k}a") * (1 - share) + F.col(f"q{k}b") * share)
 
-    return found.select(group, "n", F.round("low", 4).alias("min"), *[F.round(quantile(k), 4).alias(c) for k, c in ((1, "p10"), (5, "median"), (9, "p90"))], F.round("high", 4).alias("max"))
+    return found.select(group, "n", exact_round(F.col("low"), 4).alias("min"), *[exact_round(quantile(k), 4).alias(c) for k, c in ((1, "p10"), (5, "median"), (9, "p90"))], exact_round(F.col("high"), 4).alias("max"))
 
 
 def closed_counts(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:

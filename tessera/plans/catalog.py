@@ -4,197 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions import scores, text
-from tessera.operators import logs, splits, summaries, word_edits
+from tessera.plans import corpus, scoring, segments
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as a reference, and the next one as a hypothesis."""
-    turns = table(spark, sf_dir, "conversations")
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
-    return turns.join(after, ["conv_id", "turn"], "left").withColumn("hypothesis", F.coalesce("hypothesis", F.lit("")))
-
-
-def corpus_wer_by_role(spark, d):
-    pairs = turn_pairs(spark, d).select(F.col("role").alias("key"), text.strip_punctuation("text").alias("reference"), text.strip_punctuation("hypothesis").alias("hypothesis"))
-    return word_edits.corpus_rates(word_edits.edits(pairs))
-
-
-def edit_pair_counts(spark, d):
-    pairs = turn_pairs(spark, d).select(F.col("role").alias("key"), text.strip_punctuation("text").alias("reference"), text.strip_punctuation("hypothesis").alias("hypothesis"))
-    return word_edits.edit_pairs(word_edits.edits(pairs))
-
-
-def latest_ok_events(spark, d):
-    last = logs.latest_wins(table(spark, d, "events"), "user_id", F.col("event_id"), F.col("event_type") != "error")
-    return last.select("user_id", "event_id", "event_type", "value")
-
-
-def users_with_any_ok(spark, d):
-    return logs.any_ok(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase")
-
-
-def last_event_at_first_place(spark, d):
-    return logs.keep_last_at_first(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type", "place")
-
-
-def upsert_orders(spark, d):
-    old = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    items = table(spark, d, "lineitem").filter("l_returnflag = 'R'")
-    new = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.lit("N").alias("o_orderstatus"), F.sum(F.col("l_quantity")).alias("o_totalprice"))
-    return logs.upsert(old, new, "o_orderkey", "o_orderstatus")
-
-
-def orders_to_do(spark, d):
-    done = table(spark, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
-
-
-def order_key_differences(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).distinct()
-    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("j")).distinct()
-    both = a.join(b, F.col("k") == F.col("j"), "full_outer")
-    return both.agg(F.sum(F.when(F.col("j").isNull(), 1).otherwise(0)).alias("only_orders"), F.sum(F.when(F.col("k").isNull(), 1).otherwise(0)).alias("only_lineitem"))
-
-
-def customer_splits(spark, d):
-    orders = table(spark, d, "orders").withColumn("share", F.col("o_totalprice").cast("decimal(18,2)"))
-    return splits.speaker_split(orders, "o_custkey", "share")
-
-
-def customer_leaks(spark, d):
-    return splits.leaks(table(spark, d, "orders"), "o_custkey", "o_orderstatus")
-
-
-def event_value_quantiles(spark, d):
-    return summaries.quantile_summary(table(spark, d, "events"), "event_type", "value")
-
-
-def event_type_counts(spark, d):
-    return summaries.closed_counts(table(spark, d, "events"), "event_type", ["click", "view", "purchase", "error", "never"])
-
-
-def status_by_priority(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
-def stripped_texts(spark, d):
-    stripped = text.strip_punctuation(F.coalesce("text", F.lit("")))
-    rows = table(spark, d, "documents").select("doc_id", stripped.alias("stripped"))
-    return rows.select("doc_id", F.size(text.words("stripped")).cast("long").alias("n_words"), F.char_length(F.replace("stripped", F.lit(" "), F.lit(""))).cast("long").alias("n_marks"), F.md5("stripped").alias("stripped_md5"))
-
-
-def flags_of_turns(spark, d):
-    pairs = turn_pairs(spark, d)
-    flags = text.artifact_flags(F.coalesce("text", F.lit("")), F.col("hypothesis"), F.col("turn") % 3)
-    return pairs.select("conv_id", "turn", F.array_join(flags, ";").alias("flags"))
-
-
-def flag_counts(spark, d):
-    return flags_of_turns(spark, d).select(F.explode(F.split("flags", ";")).alias("flag")).filter("flag <> ''").groupBy("flag").agg(F.count("*").alias("n"))
-
-
-def invalid_orders(spark, d):
-    rules = [
-        ("status", ~F.col("o_orderstatus").isin("F", "O")),
-        ("price", ~(F.col("o_totalprice") < 400000)),
-        ("priority", ~F.col("o_orderpriority").rlike("^[1-3]-")),
-    ]
-    errors = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules]))
-    return table(spark, d, "orders").select("o_orderkey", F.explode(errors).alias("error"))
-
-
-def repeated_text_rows(spark, d):
-    key = F.md5(F.coalesce("text", F.lit("")))
-    docs = table(spark, d, "documents").select("doc_id", key.alias("k"))
-    first = docs.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("k", "first_id")
-    return docs.join(first, "k").filter("doc_id <> first_id").select("doc_id", "first_id")
-
-
-def review_queue(spark, d):
-    rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return table(spark, d, "orders").select("o_orderkey", rank.alias("rank"), "o_totalprice").orderBy("rank", "o_totalprice", "o_orderkey").limit(25)
-
-
-def triage_turns(spark, d):
-    rows = turn_pairs(spark, d).withColumn("candidate", F.coalesce("text", F.lit(""))).withColumn("n", F.char_length("candidate").cast("double"))
-    rows = rows.withColumns({"duration": F.col("n") / 9 + F.col("turn"), "align": F.when(F.col("turn") < 6, -(F.col("conv_id") % 25) / 10), "silence": (F.col("conv_id") % 8) / 10, "clip": (F.col("conv_id") % 5) / 1000, "rms": -(F.col("conv_id") % 45).cast("double"), "cer": (F.col("conv_id") % 7) / 10, "moved": (F.col("conv_id") % 4) / 10})
-    rows = rows.withColumn("rate", F.when(F.col("duration") > 0, F.col("n") / F.col("duration")).otherwise(0.0))
-    # Flags of the text are checked by a query of their own.
-    found = scores.triage(F.array_compact(F.array(F.when(F.col("candidate").rlike(r"[()\[\]{}]"), "parentheses"), F.when(F.col("candidate") == "", "empty_candidate"))), *[F.col(c) for c in ("duration", "rate", "align", "cer", "moved", "silence", "clip", "rms")])
-    return rows.select("conv_id", "turn", *[v.alias(k) for k, v in found.items() if k in ("confidence_score", "base_confidence", "triage_flags", "triage_status")])
-
-
-def metric_comparison(spark, d):
-    """Metrics of two runs (texts of users, texts of assistants) side by side."""
-    rows = table(spark, d, "conversations").groupBy("role").agg(F.count("*").cast("double").alias("turns"), F.avg(F.char_length("text")).alias("mean_chars"))
-    long = rows.unpivot(["role"], ["turns", "mean_chars"], "metric", "value")
-    a, b = (long.filter(F.col("role") == r).select("metric", F.col("value").alias(n)) for r, n in (("user", "a"), ("assistant", "b")))
-    return a.join(b, "metric").select("metric", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("b") - F.col("a"), 6).alias("difference"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (corpus_wer_by_role, edit_pair_counts, latest_ok_events, users_with_any_ok, last_event_at_first_place, upsert_orders, orders_to_do, order_key_differences, customer_splits, customer_leaks, event_value_quantiles, event_type_counts, status_by_priority, stripped_texts, flags_of_turns, flag_counts, invalid_orders, repeated_text_rows, review_queue, triage_turns, metric_comparison)
-}
-FLAGSHIP = "triage_turns"
-
-STRIPPED = r"trim(regexp_replace(regexp_replace({}, '[\p{{P}}\p{{S}}]', ' ', 'g'), '[\s\x1c-\x1f\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
-TURNS = "turns as (select a.*, coalesce(a.text, '') as candidate, coalesce(b.text, '') as asr from conversations a left join conversations b on a.conv_id = b.conv_id and a.turn + 1 = b.turn)"
-WORDS = f"list_filter(string_split({STRIPPED.format('candidate')}, ' '), lambda x: x <> '')"
-FLAGS = rf"""flags as (select conv_id, turn, concat_ws(';', case when trim(candidate) = '' then 'empty_candidate' end, case when trim(asr) = '' then 'empty_asr' end,
- case when regexp_matches(candidate, '[()\[\]{{}}]') then 'parentheses' end, case when regexp_matches(candidate, '[0-9A-Za-z]') then 'digits_or_latin' end,
- case when len(list_filter(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] = w[i + 1] and w[i] = w[i + 2])) > 0 then 'repeated_word' end, case when turn % 3 > 0 then 'contains_heading' end) as flags
- from (select *, {WORDS} as w from turns))"""
-
-
-def ramp_sql(x: str, bad: float, good: float) -> str:
-    return f"case when {x} is null then 0.0 else greatest(0.0::double, least(1.0::double, ({x} - ({bad})) / ({good - bad}::double))) end"
-
-
-def plateau_sql(x: str, limits: tuple[float, float, float, float]) -> str:
-    a, b, c, e = limits
-    return f"case when {x} < {b} then {ramp_sql(x, a, b)} when {x} > {c} then {ramp_sql(x, e, c)} else 1.0 end"
-
-
-R = scores.RAMPS
-TRIAGE = rf"""with {TURNS}, base as (select *, length(candidate)::double as n from turns), signals as (select *, n / 9 + turn as duration, case when turn < 6 then -(conv_id % 25) / 10 end::double as align,
- (conv_id % 8) / 10 as silence, (conv_id % 5) / 1000 as clip, -(conv_id % 45)::double as rms, (conv_id % 7) / 10 as cer, (conv_id % 4) / 10 as moved from base),
- rated as (select *, case when duration > 0 then n / duration else 0.0 end as rate from signals),
- parts as (select *, {ramp_sql('align', *R['align_score'])} as p1, ({ramp_sql('cer', *R['cer_vs_asr'])} + {ramp_sql('moved', *R['insert_delete_rate'])}) / 2 as p2,
- ({ramp_sql('silence', *R['silence_ratio'])} + {ramp_sql('clip', *R['clip_ratio'])} + least({ramp_sql('rms', *R['rms_dbfs_low'])}, {ramp_sql('rms', *R['rms_dbfs_high'])})) / 3 as p3,
- {plateau_sql('duration', scores.DURATION)} as p4, {plateau_sql('rate', scores.CHARS_PER_SEC)} as p5 from rated),
- summed as (select *, (p1 * 0.35::double + p2 * 0.3::double + p3 * 0.15::double + p4 * 0.1::double + p5 * 0.1::double) / 1.0 as w, regexp_matches(candidate, '[()\[\]{{}}]') as bracket from parts),
- done as (select *, greatest(0.0, least(1.0, w)) as b, greatest(0.0, least(1.0, w - case when bracket then 0.25 else 0.0 end)) as c from summed)
- select conv_id, turn, round(b, 4) as base_confidence, round(c, 4) as confidence_score,
- concat_ws(';', case when bracket then 'parentheses' end, case when candidate = '' then 'empty_candidate' end, case when align is null then 'missing_align_score' end, case when p4 = 0 then 'duration_out_of_range' end, case when p5 = 0 then 'speaking_rate_out_of_range' end, case when silence >= 0.7 then 'mostly_silence' end) as triage_flags,
- case when candidate = '' or p4 = 0 or p5 = 0 or silence >= 0.7 or (b < 0.5 and not bracket) then 'REJECT_CANDIDATE' when c >= 0.9 and not bracket then 'HIGH_CONFIDENCE_CANDIDATE' else 'NEEDS_REVIEW' end as triage_status from done"""
-
-ORACLE_SQL: dict[str, str] = {
-    "latest_ok_events": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1 and event_type <> 'error'",
-    "users_with_any_ok": "select distinct user_id from events where event_type = 'purchase'",
-    "last_event_at_first_place": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, min(event_id) as place from events where user_id is not null group by user_id",
-    "upsert_orders": "with n as (select l_orderkey as k, sum(l_quantity) as q from lineitem where l_returnflag = 'R' group by 1) select coalesce(k, o_orderkey) as o_orderkey, coalesce(o_orderstatus, 'N') as o_orderstatus, case when k is not null then q else o_totalprice end as o_totalprice from orders full outer join n on o_orderkey = k",
-    "orders_to_do": "select o_orderkey, o_orderstatus from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F')",
-    "order_key_differences": "select cast(count(*) filter (where j is null) as bigint) as only_orders, cast(count(*) filter (where k is null) as bigint) as only_lineitem from (select distinct o_orderkey as k from orders) full outer join (select distinct l_orderkey as j from lineitem) on k = j",
-    "customer_splits": "with e as (select o_custkey, sum(cast(o_totalprice as decimal(18,2))) as own from orders group by 1), r as (select *, sum(own) over (order by md5(cast(o_custkey as varchar)) rows unbounded preceding) as upto, sum(own) over () as total from e), t as (select *, upto - own < total * 0.1 as in_test from r), m as (select max(upto) as test_end from t where in_test) select o_custkey, case when in_test then 'test' when upto - own - test_end < total * 0.1 then 'validation' else 'train' end as split from t, m",
-    "customer_leaks": "select o_custkey, string_agg(distinct o_orderstatus, ';' order by o_orderstatus) as splits from orders group by 1 having count(distinct o_orderstatus) > 1",
-    "event_value_quantiles": "with s as (select event_type, list(value order by value) as v, count(*) as n from events where value is not null group by 1), q as (select *, greatest(1, least(floor((n + 1) * 0.1)::bigint, n - 1)) as a, greatest(1, least(floor((n + 1) * 0.5)::bigint, n - 1)) as b, greatest(1, least(floor((n + 1) * 0.9)::bigint, n - 1)) as c from s) select event_type, n, round(v[1], 4) as min, round(v[a] * (1 - ((n + 1) * 0.1::double - a)) + v[a + 1] * ((n + 1) * 0.1::double - a), 4) as p10, round(v[b] * (1 - ((n + 1) * 0.5::double - b)) + v[b + 1] * ((n + 1) * 0.5::double - b), 4) as median, round(v[c] * (1 - ((n + 1) * 0.9::double - c)) + v[c + 1] * ((n + 1) * 0.9::double - c), 4) as p90, round(v[n], 4) as max from q",
-    "event_type_counts": "select d.value, count(e.event_id) as n from (values ('click'), ('view'), ('purchase'), ('error'), ('never')) d(value) left join events e on e.event_type = d.value group by 1",
-    "status_by_priority": 'select o_orderpriority, count(*) filter (where o_orderstatus = \'F\') as "F", count(*) filter (where o_orderstatus = \'O\') as "O", count(*) filter (where o_orderstatus = \'P\') as "P" from orders group by 1',
-    "stripped_texts": f"select doc_id, cast(len(list_filter(string_split(s, ' '), lambda x: x <> '')) as bigint) as n_words, cast(length(replace(s, ' ', '')) as bigint) as n_marks, md5(s) as stripped_md5 from (select doc_id, {STRIPPED.format("coalesce(text, '')")} as s from documents)",
-    "flags_of_turns": f"with {TURNS}, {FLAGS} select * from flags",
-    "flag_counts": f"with {TURNS}, {FLAGS} select flag, count(*) as n from (select unnest(string_split(flags, ';')) as flag from flags) where flag <> '' group by 1",
-    "invalid_orders": "select o_orderkey, 'status' as error from orders where (o_orderstatus in ('F', 'O')) is not true union all select o_orderkey, 'price' from orders where (o_totalprice < 400000) is not true union all select o_orderkey, 'priority' from orders where regexp_matches(o_orderpriority, '^[1-3]-') is not true",
-    "repeated_text_rows": "select doc_id, first_id from (select doc_id, min(doc_id) over (partition by md5(coalesce(text, ''))) as first_id from documents) where doc_id <> first_id",
-    "review_queue": "select o_orderkey, cast(case o_orderstatus when 'P' then 0 when 'O' then 1 else 2 end as integer) as rank, o_totalprice from orders order by rank, o_totalprice, o_orderkey limit 25",
-    "triage_turns": TRIAGE,
-    "metric_comparison": "with r as (select role, count(*)::double as turns, avg(length(text)) as mean_chars from conversations group by 1), l as (select role, 'turns' as metric, turns as value from r union all select role, 'mean_chars', mean_chars from r) select a.metric, round(a.value, 6) as a, round(b.value, 6) as b, round(b.value - a.value, 6) as difference from l a join l b on a.metric = b.metric where a.role = 'user' and b.role = 'assistant'",
-}
+QUERIES: dict[str, Query] = scoring.QUERIES | segments.QUERIES | corpus.QUERIES
+ORACLE_SQL: dict[str, str] = scoring.ORACLE_SQL | segments.ORACLE_SQL | corpus.ORACLE_SQL
+FLAGSHIP = "corpus_wer_by_lang"

@@ -2,6 +2,17 @@ import os
 import sys
 from pathlib import Path
 
+import pytest
+from pyspark.sql import SparkSession
+
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC"}
+    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    return session
