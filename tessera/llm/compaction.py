@@ -2,9 +2,10 @@
 
 append() writes arrivals as small shards that never change, compact() merges runs of similarly sized shards into files
 of about the target size, and each change becomes visible by one atomic commit of the next manifest. A manifest lists every shard
-with rows, bytes and tier; its file is written under a name of its own and renamed to v<number>.json, which fails if another writer has
-taken the number. Readers see one version, whole; shards that no manifest names are left-overs of a lost writer and are
-never read. Data moves without a shuffle: a merge coalesces the splits of the due shards, so that a task writes about a target
+with rows and bytes; its file is written under a name of its own and renamed to v<number>.json without leave to replace, so that a number is taken once; the file
+is then read again, and a writer that finds another's token in it has lost. (A store whose rename may replace needs conditional writes for that.) Readers see one version,
+whole; shards that no manifest names belong to a writer that hasn't committed yet or was lost, and are never read. expire() removes old versions and
+then the shards that no version names any more, but none that was written within GRACE, as a writer may still commit it. Data moves without a shuffle: a merge coalesces the splits of the due shards, so that a task writes about a target
 of bytes. Everything is DataFrame reads and writes; the driver holds names and sizes of shards only.
 
 Rows with nulls in any column, repeated rows and columns of any name are kept as they are; appending an empty table adds no shard
@@ -14,14 +15,22 @@ and still commits a version; compacting a table without a full tier commits noth
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of a finished shard, similar shards that make a tier due for a merge, ratio of sizes from a tier to the next.
 TARGET, FAN_IN, RATIO = 128 << 20, 4, 4
+#: Seconds for which files that no manifest names are kept.
+GRACE = 24 * 3600
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed the version; read again and retry."""
 
 
 @dataclass(frozen=True)
@@ -50,29 +59,46 @@ class ShardedTable:
         version = version if version is not None else max(self.versions(), default=0)
         if not version:
             return 0, [], None
+        told = self.told(version)
+        return version, [Shard(**s) for s in told["shards"]], told["schema"]
+
+    def told(self, version: int) -> dict:
         stream = self.fs.open(self.paths(f"{self.root}/manifest/v{version:08d}.json"))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        told = json.loads(text)
-        return version, [Shard(**s) for s in told["shards"]], told["schema"]
 
     def commit(self, base: int, shards: list[Shard], schema: str) -> int:
         """Makes shards the version after base, or raises if that version is there already."""
         folder = self.paths(f"{self.root}/manifest")
         self.fs.mkdirs(folder)
-        draft, final = self.paths(f"{self.root}/manifest/.draft-{uuid.uuid4().hex}"), self.paths(f"{self.root}/manifest/v{base + 1:08d}.json")
+        token = uuid.uuid4().hex
+        draft, final = (self.fs.makeQualified(self.paths(f"{self.root}/manifest/{n}")) for n in (f".draft-{token}", f"v{base + 1:08d}.json"))
         stream = self.fs.create(draft, False)
         try:
-            stream.write(bytearray(json.dumps({"version": base + 1, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
+            stream.write(bytearray(json.dumps({"version": base + 1, "token": token, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
         finally:
             stream.close()
-        if self.fs.exists(final) or not self.fs.rename(draft, final):
+        if not self.renamed(draft, final) or self.told(base + 1)["token"] != token:
             self.fs.delete(draft, False)
-            raise RuntimeError(f"version {base + 1} was committed by another writer")
+            raise Conflict(f"version {base + 1} was committed by another writer")
         return base + 1
 
+    def renamed(self, draft, final) -> bool:
+        """Whether draft took the name final; not if something has it."""
+        from py4j.protocol import Py4JJavaError
+
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, final, self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def written(self, df: DataFrame, rows_a_file: int = 0) -> list[Shard]:
         """The shards that df becomes, each named once and for all, with rows as counted from the files."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
@@ -118,8 +144,6 @@ class ShardedTable:
         return self.commit(base, keep + merged, schema)
 
     def shards(self, shards: list[Shard], schema: str | None) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         kind = StructType.fromJson(json.loads(schema)) if schema else StructType()
         if not shards:
             return self.spark.createDataFrame([], kind)
@@ -130,15 +154,20 @@ class ShardedTable:
         _, shards, schema = self.manifest(version)
         return self.shards(shards, schema)
 
-    def expire(self) -> int:
-        """Removes shards that the last version doesn't name; earlier versions can't be read any more. Returns how many went."""
-        _, shards, _ = self.manifest()
-        named, gone = {s.path.split("/data/")[1] for s in shards}, 0
+    def expire(self, versions: int = 1, grace: float = GRACE) -> int:
+        """Keeps the last `versions` manifests, and removes the shards that none of them names and that are older than grace seconds. Returns how many shards went."""
+        every = self.versions()
+        kept = every[-max(1, versions) :]
+        for version in every[: -len(kept)] if kept else []:
+            self.fs.delete(self.paths(f"{self.root}/manifest/v{version:08d}.json"), False)
+        named = {s.path.split("/data/")[1] for version in kept for s in self.manifest(version)[1]}
+        before, gone = (time.time() - grace) * 1000, 0
         if not self.fs.exists(self.paths(f"{self.root}/data")):
             return 0
         for folder in self.fs.listStatus(self.paths(f"{self.root}/data")):
             for f in self.fs.listStatus(folder.getPath()):
-                if f.getPath().getName().endswith(".parquet") and f"{folder.getPath().getName()}/{f.getPath().getName()}" not in named:
+                name = f.getPath().getName()
+                if name.endswith(".parquet") and f"{folder.getPath().getName()}/{name}" not in named and f.getModificationTime() <= before:
                     gone += bool(self.fs.delete(f.getPath(), False))
         return gone
 
@@ -149,5 +178,4 @@ def compacted(arrivals: DataFrame, root: str, rows_a_file: int, target: int = TA
     now = table.append(arrivals, rows_a_file)
     while (after := table.compact()) != now:
         now = after
-    table.expire()
     return table
