@@ -3,17 +3,30 @@
 A vocabulary whose normalizer lowers case and whose pre-tokenizer drops white space gives a text the ids of its words, in order,
 and a word that comes again costs a look-up. Texts of plain Latin letters take a short way (lower case, split, the model's own
 merges for a new word). In any other text each piece between ASCII white space, which no token crosses, is looked at by
-itself, and odd ones, or those with a special token, go through the library whole.
+itself, and odd ones, or those with a special token, go through the library whole. A vocabulary with other rules than these (RULES) goes through the library
+for every text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
 #: The letters for which the short way holds, and the pre-tokenizer's pattern over these.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e¡«»¿À-ɏ]*")
 PRE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The normalizer and pre-tokenizer for which words and ids go together, as the library writes them.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 #: Entries of a worker's cache; a full one is emptied, which costs time and no results.
 CACHED = 1_000_000
 _made: dict[str, WordTokens] = {}
@@ -37,6 +50,9 @@ class WordTokens(dict):
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = self.whole.model
+        told = json.loads(self.whole.to_str())
+        marked = all("<|" in a["content"] and not (a["single_word"] or a["normalized"]) for a in told["added_tokens"])
+        self.known = (told["normalizer"], told["pre_tokenizer"]) == RULES and marked and not told["post_processor"] and not told["model"].get("dropout")
         self.letters = byte_letters()
 
     @staticmethod
@@ -62,6 +78,8 @@ class WordTokens(dict):
     def ids(self, raw: bytes) -> bytes:
         """Ids of a whole text, given as UTF-8, four little-endian bytes each."""
         text = raw.decode()
+        if not self.known:
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if "<|" not in text and PLAIN.fullmatch(text):
             return self.plain(text)
         out = []
