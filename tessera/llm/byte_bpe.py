@@ -3,7 +3,8 @@
 A text is split into the pattern's matches; only words that a worker has not met go to DuckDB. There they are token-position
 rows. A recursive query joins each pair of neighbours to the merge table, contracts each word's leftmost pair of least rank, and
 stops at the fixpoint; an ordered aggregation over the vocabulary's bytes decodes the ids again. Texts are then put together from
-their words' ids and bytes. Words of over LONG bytes, where a contraction at a time would be quadratic, take a heap with the same rule.
+their words' ids and bytes. For words of over LONG bytes, a contraction a step would be quadratic: a second recursive query contracts, in each step, all pairs of
+the word's least rank that don't overlap, from the left. That is the same, as no new pair can have a lower rank than the one it contains.
 
 Null text is empty text: 0 tokens and the digests of nothing. Null ids and repeated rows are kept. An empty table gives no rows.
 Other columns are not read. Memory: a slice of about SLICE bytes of text, the worker's cache, and DuckDB's own limit.
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import tempfile
 from collections.abc import Iterator
@@ -37,14 +37,14 @@ with recursive tokens(step, word, pos, id, size) as (
   select 0, word, pos, id, 1 from units
   union all
   select step + 1, own.word, own.pos,
-         case when own.pos = best % 1024 then best // 1024 else own.id end,
-         case when own.pos = best % 1024 then own.size + right_size else own.size end
+         case when own.pos = best % 4294967296 then best // 4294967296 else own.id end,
+         case when own.pos = best % 4294967296 then own.size + right_size else own.size end
   from (
     select l.*, r.size as right_size
     from tokens l left join tokens r on r.word = l.word and r.pos = l.pos + l.size
   ) own
   join (
-    select l.word, min(made::bigint * 1024 + l.pos) as best, arg_min(r.pos, made::bigint * 1024 + l.pos) as gone
+    select l.word, min(made::bigint * 4294967296 + l.pos) as best, arg_min(r.pos, made::bigint * 4294967296 + l.pos) as gone
     from tokens l
     join tokens r on r.word = l.word and r.pos = l.pos + l.size
     join merges on left_id = l.id and right_id = r.id
@@ -54,15 +54,43 @@ with recursive tokens(step, word, pos, id, size) as (
 )
 select word, pos, id from tokens join (select word, max(step) as step from tokens group by word) using (word, step)
 """
+#: For long words: pairs of the least rank that follow each other without a gap overlap, and every other one of such a run is contracted.
+ENCODE_LONG = """
+with recursive tokens(word, step, pos, id) using key (word) as (
+  select word, 0, list(pos order by pos), list(id order by pos) from units group by word
+  union
+  select word, step + 1, list(pos order by n), list(case when taken then made else id end order by n)
+  from (
+    select *, coalesce(lag(taken) over (partition by word order by n), false) as gone
+    from (
+      select *, least and row_number() over (partition by word, least, n - in_kind order by n) % 2 = 1 as taken
+      from (
+        select *, row_number() over (partition by word, least order by n) as in_kind
+        from (
+          select word, step, n, pos, id, made, coalesce(made = min(made) over (partition by word), false) as least
+          from (
+            select word, step, n, pos, id, lead(id) over (partition by word order by n) as next_id
+            from (select word, step, unnest(range(1, len(pos) + 1)) as n, unnest(pos) as pos, unnest(id) as id from tokens)
+          ) left join merges on left_id = id and right_id = next_id
+        )
+      )
+    )
+  )
+  where not gone
+  group by word, step
+  having bool_or(taken)
+)
+select word, unnest(pos)::int as pos, unnest(id)::int as id from tokens
+"""
 DECODE = """
 select word, count(*) as n, string_agg(' ' || id, '' order by pos) as ids, string_agg(hex, '' order by pos) as hex
 from coded join vocabulary using (id) group by word
 """
-_made: dict[str, Bpe] = {}
+_made: dict[tuple[str, str], Bpe] = {}
 
 
 class Bpe:
-    """From a word to (ids, each after a space; number of ids; decoded bytes); one per worker and file: of(path, pattern)."""
+    """From a word to (ids, each after a space; number of ids; decoded bytes); one per worker, file and pattern: of(path, pattern)."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -73,7 +101,8 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.seen: dict[str, tuple[bytes, int, bytes]] = {}
         self.units = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
+        self.spill = tempfile.TemporaryDirectory(prefix="bpe-")  # goes with the worker
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.spill.name})
         made = [(self.ranks[t[:k]], self.ranks[t[k:]], c) for t, c in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         merges = pa.table(dict(zip(("left_id", "right_id", "made"), (pa.array(x, pa.int32()) for x in zip(*made, strict=True)), strict=True)))
         names = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
@@ -83,50 +112,29 @@ class Bpe:
 
     @staticmethod
     def of(path: str, pattern: str) -> Bpe:
-        if path not in _made:
-            _made[path] = Bpe(path, pattern)
-        return _made[path]
-
-    def long_word(self, raw: bytes) -> list[int]:
-        """The same contraction with a heap of (rank, position)."""
-        ids = [int(self.units[b]) for b in raw]
-        text = [raw[i : i + 1] for i in range(len(raw))]
-        after, before = [*range(1, len(raw)), -1], [-1, *range(len(raw) - 1)]
-        heap = [(r, i) for i in range(len(raw) - 1) if (r := self.ranks.get(raw[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if not text[i] or j < 0 or self.ranks.get(text[i] + text[j]) != rank:
-                continue
-            text[i], ids[i], text[j] = text[i] + text[j], rank, b""
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] >= 0 and (r := self.ranks.get(text[a] + text[after[a]])) is not None:
-                    heapq.heappush(heap, (r, a))
-        return [n for n, t in zip(ids, text, strict=True) if t]
+        if (path, pattern) not in _made:
+            _made[path, pattern] = Bpe(path, pattern)
+        return _made[path, pattern]
 
     def encode(self, words: list[str]) -> None:
         """Adds words to seen."""
         raws = [w.encode() for w in words]
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        inner = []
+        inner: tuple[list[int], list[int]] = ([], [])
         for k, raw in enumerate(raws):
             whole = self.ranks.get(raw)
-            if whole is not None or len(raw) > LONG:
-                ids = np.array([whole] if whole is not None else self.long_word(raw), np.int32)
-                rows.append((np.full(len(ids), k), np.arange(len(ids)), ids))
+            if whole is not None:
+                rows.append((np.array([k]), np.array([0]), np.array([whole])))
             else:
-                inner.append(k)
-        if inner:
-            sizes = np.array([len(raws[k]) for k in inner])
-            starts = np.cumsum(sizes) - sizes
-            units = pa.table({"word": pa.array(np.repeat(inner, sizes), pa.int32()), "pos": pa.array(np.arange(sizes.sum()) - np.repeat(starts, sizes), pa.int32()), "id": self.units[np.frombuffer(b"".join(raws[k] for k in inner), np.uint8)]})
-            self.db.register("units", units)
-            got = self.db.execute(ENCODE).fetchnumpy()
-            rows.append((got["word"], got["pos"], got["id"]))
+                inner[len(raw) > LONG].append(k)
+        for query, own in zip((ENCODE, ENCODE_LONG), inner, strict=True):
+            if own:
+                sizes = np.array([len(raws[k]) for k in own])
+                starts = np.cumsum(sizes) - sizes
+                units = pa.table({"word": pa.array(np.repeat(own, sizes), pa.int32()), "pos": pa.array(np.arange(sizes.sum()) - np.repeat(starts, sizes), pa.int32()), "id": self.units[np.frombuffer(b"".join(raws[k] for k in own), np.uint8)]})
+                self.db.register("units", units)
+                got = self.db.execute(query).fetchnumpy()
+                rows.append((got["word"], got["pos"], got["id"]))
         coded = pa.table({n: pa.array(np.concatenate(c), pa.int32()) for n, c in zip(("word", "pos", "id"), zip(*rows, strict=True), strict=True)})
         self.db.register("coded", coded)
         got = self.db.execute(DECODE).fetchnumpy()
