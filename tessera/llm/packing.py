@@ -1,14 +1,16 @@
 """Packing of tokenized documents into as few fixed-size sequences as possible.
 
 Plan. The corpus enters the plan only as a histogram of piece lengths (at most `capacity` entries, whatever the corpus).
-The longer lengths are grouped into classes, and the configuration linear program over these (which multisets of
-lengths fill a sequence, how often each) is solved by multiplicative weights: each round prices the classes by how little they are
-covered, an unbounded-knapsack dynamic program finds the dearest configuration, and covered classes lose weight.
-The fractional solution is rounded down to whole sequences; the rest, and the short lengths held back for that, go by
-best fit, longest first, into the tightest gaps. All of this works on (pattern, how many sequences have it), never on pieces.
+The lengths are grouped into at most CLASSES classes of about the same number of tokens, each as long as its longest member, and the configuration linear program over these
+(which multisets of lengths fill a sequence, how often each) is solved by multiplicative weights: each round prices the classes by how little they are
+covered, an unbounded-knapsack dynamic program over the whole capacity finds the dearest configuration, and covered classes lose weight. That finds configurations;
+finer weights over these then say how often to use each, and new ones are priced in until none is dearer by TOLERANCE. The fractional solution is rounded up to whole
+sequences, the most frequent first, as long as there are pieces to fill them. What is left, and the shortest pieces (SPARE of the tokens, and as many as classes are longer than their members), go by best fit, longest first, into the
+tightest gaps. All of this works on (pattern, how many sequences have it), never on pieces; it takes the same time for any corpus. Best fit alone is
+planned too, and taken where it needs fewer sequences.
 
-Rows. Pieces are numbered within their length, long-tailed lengths in salted parts of about PART rows so that no task gets one length's
-rows, and a look-up in the plan gives sequence and offset. Tokenization runs once: its pieces are kept in the shared folder.
+Rows. Pieces are numbered within their length, in salted parts of LEAST_PART rows or, where that would be over PARTS parts in all, as many more as it takes,
+so that no task gets one length's rows; a look-up in the plan gives sequence and offset. Tokenization runs once: its pieces are kept in the shared folder.
 
 Null and empty texts are one piece (the end id alone); repeated rows are packed as they are, each on its own; a null id stays null;
 an empty table gives no rows; other columns are not read.
@@ -31,11 +33,12 @@ from .common import Scratch
 from .word_tokens import WordTokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rows of one length that one window task numbers, about.
-PART = 200_000
-#: Classes of the linear program, tokens that its dynamic program counts as one, the weights' step, and the share of tokens, in the shortest pieces, that stays for best fit:
-#: the linear program leaves as much room open in each sequence.
-CLASSES, UNIT, STEP, SHORT = 96, 8, 0.3, 0.3
+#: Rows of a part of one length, at least, and how many parts there are in all, about (their sizes are a small table in the driver).
+LEAST_PART, PARTS = 256, 16_384
+#: Classes of the linear program, steps of the weights when configurations are found and when they are weighed, how much dearer a new configuration must be, and rounds that price new ones in.
+CLASSES, COARSE, FINE, TOLERANCE, ROUNDS = 64, 0.5, 0.08, 0.005, 24
+#: Parts of the capacity that the dynamic program tells apart where there are more lengths than classes, and the share of tokens, in the shortest pieces, that is held back for gaps.
+RESOLUTION, SPARE = 512, 0.03
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -56,45 +59,68 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def best_configuration(prices: np.ndarray, sizes: np.ndarray, room: int) -> dict[int, int]:
-    """The dearest multiset of classes whose sizes add up to room at most: unbounded knapsack by dynamic programming."""
+def best_configuration(prices: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """How often the dearest multiset of classes whose sizes add up to room at most has each: unbounded knapsack by dynamic programming."""
     worth, take = np.zeros(room + 1), np.full(room + 1, -1)
     fits = np.searchsorted(sizes, np.arange(room + 1), "right")
-    for c in range(1, room + 1):
-        worth[c], k = worth[c - 1], fits[c]
-        if k:
-            got = prices[:k] + worth[c - sizes[:k]]
-            best = int(got.argmax())
-            if got[best] > worth[c]:
-                worth[c], take[c] = got[best], best
-    out: dict[int, int] = defaultdict(int)
-    c = room
+    for c in range(int(sizes[0]), room + 1):
+        got = prices[: fits[c]] + worth[c - sizes[: fits[c]]]
+        best = int(got.argmax())
+        if got[best] > worth[c - 1]:
+            worth[c], take[c] = got[best], best
+        else:
+            worth[c] = worth[c - 1]
+    out, c = np.zeros(len(sizes), np.int64), room
     while c > 0:
         if take[c] < 0:
             c -= 1
         else:
-            out[int(take[c])] += 1
+            out[take[c]] += 1
             c -= int(sizes[take[c]])
-    return dict(out)
+    return out
+
 
+def weights(sizes: np.ndarray, demand: np.ndarray, room: int, step: float, pool: list[np.ndarray], find: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(how often to use each configuration of pool, the classes' mean prices); with find the dynamic program picks, and what it finds joins pool."""
+    n = len(sizes)
+    covered, target, mean = np.zeros(n), np.log(n + 1) / step**2, np.zeros(n)
+    use: list[float] = [0.0] * len(pool)
+    places = {c.tobytes(): k for k, c in enumerate(pool)}
+    table = None if find else np.array(pool, float)
+    while (open_ := covered < target).any():
+        own = np.where(open_, np.exp(-step * (covered - covered[open_].min())), 0)
+        prices = own / demand
+        mean += prices / (prices @ sizes)
+        if find:
+            config = best_configuration(prices, sizes, room)
+            k = places.setdefault(config.tobytes(), len(pool))
+            if k == len(pool):
+                pool.append(config)
+                use.append(0.0)
+        else:
+            k = int((table @ prices).argmax())
+            config = pool[k]
+        has = config > 0
+        times = float((demand[has] / config[has]).min())
+        use[k] += times
+        covered += config * times / demand
+    return np.array(use) / target, mean
 
-def solve_configurations(sizes: np.ndarray, demand: np.ndarray, room: int, step: float = STEP) -> dict[tuple, float]:
-    """How often to use each configuration so that each class (sizes ascending) is covered demand times, fractionally, about optimally."""
+
+def solve_configurations(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
+    """(configuration, how often) so that each class (sizes ascending) is covered demand times, fractionally, with about the fewest sequences."""
     if not len(sizes):
-        return {}
-    covered = np.zeros(len(sizes))
-    target, use = np.log(len(sizes) + 1) / step**2, defaultdict(float)
-    while True:
-        open_ = covered < target
-        if not open_.any():
-            break
-        prices = np.where(open_, np.exp(-step * (covered - covered.min())), 0) / demand
+        return []
+    pool: list[np.ndarray] = []
+    weights(sizes, demand, room, COARSE, pool, find=True)
+    for _ in range(ROUNDS):
+        use, prices = weights(sizes, demand, room, 2 * FINE, pool, find=False)
         config = best_configuration(prices, sizes, room)
-        times = min(demand[k] / a for k, a in config.items())
-        use[tuple(sorted(config.items()))] += times
-        for k, a in config.items():
-            covered[k] += a * times / demand[k]
-    return {config: times / target for config, times in use.items()}
+        if config @ prices <= (1 + TOLERANCE) * max(c @ prices for c in pool):
+            break
+        pool.append(config)
+    use, _ = weights(sizes, demand, room, FINE, pool, find=False)
+    return [(c, float(n)) for c, n in zip(pool, use, strict=True) if n]
 
 
 class Gaps:
@@ -122,66 +148,24 @@ class Gaps:
         return got
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in a sequence, sequences that have them)], for all of histogram {length: pieces}."""
-    left = {n: c for n, c in histogram.items() if c}
-    gaps, total = Gaps(capacity), sum(n * c for n, c in left.items())
-    lengths, short = sorted(left), 0
-    tokens = 0
-    while short < len(lengths) and tokens + lengths[short] * left[lengths[short]] <= SHORT * total:
-        tokens += lengths[short] * left[lengths[short]]
-        short += 1
-    room = int(capacity * (1 - SHORT)) // UNIT
-    long_ = [n for n in lengths[short:] if -(-n // UNIT) <= room]
-    if long_:
-        mass = np.cumsum([n * left[n] for n in long_])
-        where = np.minimum((mass * CLASSES // (mass[-1] + 1)).astype(int), CLASSES - 1)
-        classes = [[n for n, w in zip(long_, where, strict=True) if w == k] for k in np.unique(where)]
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for members in classes:
-            by_size[-(-members[-1] // UNIT)] += members
-        sizes = np.array(sorted(by_size))
-        members = [by_size[s] for s in sizes]
-        demand = np.array([sum(left[n] for n in m) for m in members], float)
-        use = solve_configurations(sizes, demand, room)
-        asked = np.zeros(len(sizes))
-        for config, times in use.items():
-            for k, a in config:
-                asked[k] += a * times
-        fit = float(np.median(demand / np.maximum(asked, 1e-9)))
-        for config, times in sorted(use.items(), key=lambda x: -x[1]):
-            slots = [k for k, a in config for _ in range(a)][::-1]
-            open_ = {(): int(times * fit)}
-            for k in slots:
-                filled: dict[tuple[int, ...], int] = defaultdict(int)
-                for pattern, wanted in open_.items():
-                    while wanted and members[k]:
-                        n = members[k][-1]
-                        some = min(wanted, left[n])
-                        filled[(*pattern, n)] += some
-                        wanted -= some
-                        left[n] -= some
-                        if not left[n]:
-                            members[k].pop()
-                    if wanted:
-                        filled[pattern] += wanted
-                open_ = filled
-            for pattern, times_ in open_.items():
-                if times_ and pattern:
-                    gaps.put(pattern, times_)
+Planned = list[tuple[tuple[int, ...], int]]
+
+
+def best_fit(left: dict[int, int], gaps: Gaps) -> Planned:
+    """The plan with left {length: pieces} put into the tightest gaps, longest first, and into new sequences where none is wide enough."""
     for n in sorted(left, reverse=True):
         wanted = left[n]
         while wanted:
             got = gaps.best(n)
             if got is None:
-                fill = capacity // n
+                fill = gaps.capacity // n
                 if wanted >= fill:
                     gaps.put((n,) * fill, wanted // fill)
                 if wanted % fill:
                     gaps.put((n,) * (wanted % fill), 1)
                 break
             pattern, times = got
-            each = min((capacity - sum(pattern)) // n, -(-wanted // times))
+            each = min((gaps.capacity - sum(pattern)) // n, -(-wanted // times))
             some = min(times, wanted // each)
             if some < times:
                 gaps.put(pattern, times - some)
@@ -194,6 +178,76 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return sorted(merged.items())
 
 
+def grouped(left: dict[int, int]) -> list[list[int]]:
+    """The lengths in at most CLASSES runs of neighbours with about the same number of tokens each; one by one where there are no more."""
+    lengths = sorted(left)
+    if len(lengths) <= CLASSES:
+        return [[n] for n in lengths]
+    mass = np.cumsum([n * left[n] for n in lengths])
+    where = ((mass - 1) * CLASSES // mass[-1]).astype(int)
+    return [[n for n, w in zip(lengths, where, strict=True) if w == k] for k in np.unique(where)]
+
+
+def by_configurations(histogram: dict[int, int], capacity: int) -> Planned:
+    """The plan by the configuration linear program, with best fit for what is left of rounding."""
+    unit = 1 if len(histogram) <= CLASSES else max(1, capacity // RESOLUTION)
+    up = lambda own: -(-own[-1] // unit)
+    left, held = dict(histogram), {}
+    total = sum(n * c for n, c in histogram.items())
+    for _ in range(2):  # held back: the shortest pieces, SPARE of the tokens and as many as classes are longer than their members
+        spare = (int(SPARE * total) if len(histogram) > CLASSES else 0) + sum(left[n] * (unit * up(own) - n) for own in grouped(left) for n in own)
+        left, held = dict(histogram), {}
+        for n in sorted(histogram):
+            if spare < n:
+                break
+            held[n] = some = min(histogram[n], spare // n)
+            spare -= some * n
+            left[n] -= some
+            if not left[n]:
+                del left[n]
+        if not left:
+            break
+    classes, gaps = grouped(left) if left else [], Gaps(capacity)
+    merged: dict[int, list[int]] = defaultdict(list)
+    for own in classes:
+        merged[up(own)] += own
+    sizes, classes = np.array(sorted(merged)), [merged[k] for k in sorted(merged)]
+    demand = np.array([sum(left[n] for n in own) for own in classes], float)
+    for config, times in sorted(solve_configurations(sizes, demand, capacity // unit), key=lambda x: -x[1]):
+        has = np.flatnonzero(config)
+        open_ = {(): min(int(np.ceil(times)), *(sum(left[n] for n in classes[k]) // int(config[k]) for k in has))}  # rounded up, as far as there are pieces
+        for k in np.repeat(np.arange(len(sizes)), config)[::-1].tolist():
+            filled: dict[tuple[int, ...], int] = defaultdict(int)
+            for pattern, wanted in open_.items():
+                while wanted and classes[k]:
+                    n = classes[k][-1]
+                    some = min(wanted, left[n])
+                    filled[(*pattern, n)] += some
+                    wanted -= some
+                    left[n] -= some
+                    if not left[n]:
+                        classes[k].pop()
+                if wanted:
+                    filled[pattern] += wanted
+            open_ = filled
+        for pattern, some in open_.items():
+            if some and pattern:
+                gaps.put(pattern, some)
+    for n, c in held.items():
+        left[n] = left.get(n, 0) + c
+    return best_fit({n: c for n, c in left.items() if c}, gaps)
+
+
+def sequences(planned: Planned) -> int:
+    return sum(times for _, times in planned)
+
+
+def plan(histogram: dict[int, int], capacity: int) -> Planned:
+    """[(lengths in a sequence, sequences that have them)], for all of histogram {length: pieces}."""
+    wanted = {n: c for n, c in histogram.items() if c}
+    return min(by_configurations(wanted, capacity), best_fit(wanted, Gaps(capacity)), key=sequences)
+
+
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """By length: first rank of each run of ranks, its sequences, its first sequence, offset of its first copy."""
     found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
@@ -228,27 +282,28 @@ def place(lengths: np.ndarray, ranks: np.ndarray, where: dict[int, tuple[np.ndar
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of docs(doc_id, text)."""
     spark = docs.sparkSession
-    cut = Scratch(spark, "packing").keep(pieces(docs, tokenizer, capacity, end_id))
+    scratch = Scratch(spark, "packing")
+    cut = scratch.keep(pieces(docs, tokenizer, capacity, end_id))
     histogram = {int(n): int(c) for n, c in cut.groupBy("length").count().collect()}
     where = slots(plan(histogram, capacity))
-    many = {n: -(-c // PART) for n, c in histogram.items() if c > PART}
-    parts = F.create_map([F.lit(x) for kv in many.items() for x in kv])[F.col("length")] if many else F.lit(None)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.coalesce(parts, F.lit(1)).cast("long")))
+    part = max(LEAST_PART, sum(histogram.values()) // PARTS)
+    many = {n: -(-c // part) for n, c in histogram.items()}
+    parts = F.create_map([F.lit(x) for kv in many.items() for x in kv])[F.col("length")] if many else F.lit(1)
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), parts.cast("long")))
+    salted = scratch.keep(salted)  # the salt is dealt once
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")).cast("long") - 1)
+    counts = {(int(r[0]), int(r[1])): int(r[2]) for r in salted.groupBy("length", "salt").count().collect()}
     before: dict[tuple[int, int], int] = {}
-    if many:
-        counts = {(int(r[0]), int(r[1])): int(r[2]) for r in salted.filter(F.col("length").isin(list(many))).groupBy("length", "salt").count().collect()}
-        for n in many:
-            total = 0
-            for s in range(many[n]):
-                before[n, s] = total
-                total += counts.get((n, s), 0)
+    for n, k in many.items():
+        total = 0
+        for s in range(k):
+            before[n, s] = total
+            total += counts.get((n, s), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, salt, ranks = (batch.column(i).to_numpy() for i in (3, 5, 6))
-            if before:
-                ranks = ranks + np.array([before.get(key, 0) for key in zip(lengths.tolist(), salt.tolist(), strict=True)], np.int64)
+            ranks = ranks + np.array([before.get(key, 0) for key in zip(lengths.tolist(), salt.tolist(), strict=True)], np.int64)
             sequence, offset = place(lengths, ranks, where)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 

@@ -85,3 +85,34 @@ def test_packing(documents, library):
         assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in own)
     total = sum(r["length"] for r in rows)
     assert checked(rows, 256) <= -(-total // 256) + 2 and packing.pack(documents([]), WORDS).collect() == []
+
+
+def used(planned, histogram, capacity):
+    """Sequences of a plan that holds exactly the histogram."""
+    found: dict[int, int] = {}
+    for pattern, times in planned:
+        assert sum(pattern) <= capacity
+        for n in pattern:
+            found[n] = found.get(n, 0) + times
+    assert found == {n: c for n, c in histogram.items() if c}
+    return packing.sequences(planned)
+
+
+def test_configurations_beat_best_fit_where_it_goes_wrong():
+    histogram = {2058: 60, 1044: 60, 1034: 60, 1004: 120}
+    assert used(packing.best_fit(dict(histogram), packing.Gaps(4096)), histogram, 4096) == 110
+    assert used(packing.plan(histogram, 4096), histogram, 4096) <= 94  # 90 is best
+
+
+def test_plans_of_broad_and_odd_histograms():
+    make = np.random.default_rng(1)
+    broad = dict(zip(*(x.tolist() for x in np.unique(make.integers(30, 230, 5000), return_counts=True)), strict=True))
+    for histogram in (broad, {}, {5: 3}, {256: 7, 1: 1}, {n: 1 for n in range(1, 257)}):
+        total = sum(n * c for n, c in histogram.items())
+        assert used(packing.plan(histogram, 256), histogram, 256) <= -(-total // 256) * 1.04 + 1
+
+
+def test_the_program_alone_reaches_the_bound_on_lengths_of_texts():
+    lengths = np.minimum(4096, np.exp(np.random.default_rng(1).normal(5.5, 1.2, 50_000)).astype(int) + 1)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    assert used(packing.by_configurations(histogram, 4096), histogram, 4096) <= -(-int(lengths.sum()) // 4096) + 1
