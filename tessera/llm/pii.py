@@ -4,11 +4,14 @@ Base. A pattern's matches come from regexp_extract_all and the gaps between them
 sums of their lengths give each match's place in code points. The patterns are rewritten so that the JVM's engine runs in linear time
 and without recursion over long runs: separators inside a run are first turned into one private letter each, which keeps places.
 
-Bootstrapping. Every word with four digits or @ is an instance, the two words before it are its lexical pattern. Base spans are seeds. In
-turns, a pattern's score is the share of its instances' scores, damped by how few distinct seeds it has, and an instance's score
+Bootstrapping. An instance is a run of characters without white space that holds a digit or @, with the groups of up to five digits (15 after a plus sign) that follow it after single spaces
+(a number written in parts is one instance), at least four digits or an @ in it; quotes, brackets and punctuation around it don't count. Its lexical patterns are
+the two words before it, the word before it with the instance's shape, and the words before and after it; words are taken whole, and an instance in
+their place is one word, whatever it is, and a pattern of nothing else is none. Seeds are instances that a base span touches, and, for a kind of its own that is not in the base,
+long hexadecimal secrets. In turns, a pattern's score is the mean of its instances' scores, damped by how few distinct seeds it has, and an instance's score
 is the chance that one of its patterns is right. Patterns of at least `least` and SEEDS distinct seeds are trusted, and an
-instance under them that no base span touches becomes a span of the pattern's kind. Both sides are aggregated before they are joined, so
-that a frequent word or pattern is one row; only instances, never texts, are shuffled.
+instance under them that no base span touches becomes a span of the pattern's kind. A seed alone is none: a secret needs a trusted pattern too. Texts that
+are equal count once. Both sides are aggregated before they are joined, so that a frequent instance or pattern is one row; only instances, never texts, are shuffled.
 
 Null text is empty text: no spans. Null ids and repeated rows are kept, each row with its own spans. An empty table gives no rows; other
 columns are not read. All of it is DataFrame and SQL functions.
@@ -23,6 +26,9 @@ from .common import Scratch, fresh, recounted
 
 #: The kinds in their order. E000 stands for a space or hyphen between digits, E001 for a dot between letters, digits or hyphens.
 KINDS = ("email", "ip", "card", "phone")
+#: The kind that only the method finds, after those of the base.
+SECRET = "secret"
+ALL_KINDS = (*KINDS, SECRET)
 DIGIT_RUN, DOT_RUN = "\ue000", "\ue001"
 LOCAL, DOMAIN = f"A-Za-z0-9._%+{DOT_RUN}-", "A-Za-z0-9-"
 PATTERNS = {
@@ -55,7 +61,12 @@ SPANS = "array<struct<start:int,rank:int,stop:int>>"
 BLOCK = 256
 #: Rounds of the graph, distinct seeds that a trusted pattern has at least.
 ROUNDS, SEEDS = 3, 5
-INSTANCE = "[^\\\\s]*[0-9@][^\\\\s]*"
+GROUP = "[ ][(+]?+[0-9]{{1,{most}}}+(?:[).-]++[0-9]{{1,{most}}}+)*+[)]?+(?![0-9A-Za-z@_])"
+INSTANCE = "|".join(f"(?<![^\\\\s])[^\\\\s0-9@{plus}]*+{first}[^\\\\s]*+(?:{GROUP.format(most=most)})*+" for plus, first, most in (("+", "[+][0-9]", 15), ("", "[0-9@]", 5)))
+#: Patterns without a word are none.
+BARE = "^(2:[#^] [#^]|[sr]:[#^] .*)$"
+LEAD, TRAIL = "^[^0-9A-Za-z+@]*+", "[^0-9A-Za-z]*$"
+HEX = "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
 
 
 def placed(found: str, gaps: str, keep: str = "true") -> str:
@@ -88,17 +99,30 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def instances(rows: DataFrame) -> DataFrame:
-    """rows (with t and spans) and words: place, value and pattern of each instance, and the rank of the base kind that it touches."""
-    found, gaps = matched(INSTANCE, "t", "t rlike '[0-9@]'")
-    before = f"case when t rlike '[0-9@]' then transform(split(t, '{INSTANCE}', -1), x -> lower(regexp_extract(right(x, 64), '([^\\\\s]+\\\\s+[^\\\\s]+)\\\\s+$', 1))) else cast(array() as array<string>) end"
-    out = rows.withColumns({"m": F.expr(found), "g": F.expr(gaps), "b": F.expr(before)}).withColumn("w", F.expr(placed("m", "g")))
-    touched = "element_at(transform(filter(spans, s -> s.start < w1.stop and s.stop > w1.start), s -> s.rank), 1)"
-    word = f"named_struct('start', w1.start, 'stop', w1.stop, 'value', lower(w1.value), 'pattern', regexp_replace(element_at(b, i + 1), '\\\\s+', ' '), 'rank', try_{touched})"
-    return out.withColumn("words", F.expr(f"filter(transform(w, (w1, i) -> {word}), x -> x.pattern <> '' and (instr(x.value, '@') > 0 or length(regexp_replace(x.value, '[^0-9]', '')) >= 4))"))
+    """rows (with t and spans) and words: place, value and patterns of each instance, and the rank of the base kind that it touches, or of secrets."""
+    needs = "t rlike '[0-9@]'"
+    found, gaps = matched(INSTANCE, "t", needs)
+    between = f"case when {needs} then transform(split(t, '{INSTANCE}', -1), x -> trim(regexp_replace(lower(x), '\\\\s+', ' '))) else cast(array() as array<string>) end"
+    out = rows.withColumns({"m": F.expr(found), "g": F.expr(gaps), "b": F.expr(between)}).withColumn("w", F.expr(placed("m", "g")))
+    # The words around: where a gap has too few, the instance next to it stands for one.
+    out = out.withColumn("l", F.expr("transform(b, (x, i) -> concat(if(i = 0, '^ ^ ', '# # '), x))")).withColumn("r", F.expr("transform(b, (x, i) -> if(x = '', if(i = size(b) - 1, '$', '#'), substring_index(x, ' ', 1)))"))
+    # Without what stands around it: v and how much was cut in front; both from the match itself.
+    lead = f"length(regexp_extract(w1.value, '{LEAD}', 0))"
+    bare = f"regexp_replace(regexp_replace(w1.value, '{LEAD}', ''), '{TRAIL}', '')"
+    out = out.withColumn("w", F.expr(f"transform(w, (w1, i) -> named_struct('start', w1.start + {lead}, 'value', lower({bare}), 'size', length({bare}), 'left', rtrim(l[i]), 'next', r[i + 1]))"))
+    touched = "get(filter(spans, s -> s.start < w1.start + w1.size and s.stop > w1.start), 0).rank"
+    rank = f"coalesce({touched}, if(w1.value rlike '{HEX}', {len(KINDS)}, null))"
+    shape = f"if(w1.value rlike '{HEX}', 'hex', regexp_replace(regexp_replace(w1.value, '[a-z]+', 'a'), '[0-9]', '9'))"
+    short = lambda x: f"if(length({x}) > 100, md5({x}), {x})"
+    patterns = [("substring_index(w1.left, ' ', -2)", "2"), (f"concat(substring_index(w1.left, ' ', -1), ' ', {shape})", "s"), ("concat(substring_index(w1.left, ' ', -1), ' _ ', w1.next)", "r")]
+    listed = ", ".join(f"concat('{mark}:', {short(x)})" for x, mark in patterns)
+    word = f"named_struct('start', w1.start, 'stop', w1.start + w1.size, 'value', {short('w1.value')}, 'rank', {rank}, 'base', {touched} is not null, 'patterns', filter(array({listed}), p -> not p rlike '{BARE}'))"
+    digits = "length(regexp_replace(w1.value, '[^0-9]', '')) >= 4"
+    return out.withColumn("words", F.expr(f"transform(filter(w, w1 -> w1.size > 0 and (instr(w1.value, '@') > 0 or {digits})), w1 -> {word})"))
 
 
 def trusted(words: DataFrame, least: float) -> DataFrame:
-    """(pattern, rank) of the patterns to trust; words(pattern, value, rank): each instance once for each place."""
+    """(pattern, found, p) of the patterns to trust, with their kinds and scores; words(pattern, value, rank): each instance once for each place."""
     edges = words.groupBy("pattern", "value").agg(F.max("rank").alias("rank"))
     seeds = edges.filter("rank is not null")
     # A pattern with fewer seeds than it takes can't be trusted in any round, as new instances are no seeds.
@@ -110,11 +134,12 @@ def trusted(words: DataFrame, least: float) -> DataFrame:
         values = near.join(patterns.select("pattern", "p"), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("v"))
         scored = near.join(values, "value").select("pattern", "value", "kind", "n_seeds", "seed", F.greatest("seed", "v").alias("score"))
     final = scored.groupBy("pattern", "kind", "n_seeds").agg(F.avg("score").alias("p"))
-    return final.filter(F.col("p") * F.col("n_seeds") / (F.col("n_seeds") + 0.5) >= least).select("pattern", F.col("kind").alias("found"))
+    damped = F.col("p") * F.col("n_seeds") / (F.col("n_seeds") + 0.5)
+    return final.filter(damped >= least).select("pattern", F.col("kind").alias("found"), damped.alias("p"))
 
 
 def joined(spans: str) -> str:
-    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    names = "array(" + ", ".join(f"'{k}'" for k in ALL_KINDS) + ")"
     return f"array_join(transform({spans}, s -> concat(element_at({names}, s.rank + 1), ':', s.start, ':', s.stop)), ',')"
 
 
@@ -123,7 +148,7 @@ def masked(text: str, spans: str) -> str:
     last = "element_at(a, -1)"
     grown = f"array_append(slice(a, 1, size(a) - 1), named_struct('start', {last}.start, 'rank', {last}.rank, 'stop', greatest({last}.stop, s.stop)))"
     united = f"aggregate({spans}, cast(array() as {SPANS}), (a, s) -> cast(case when size(a) > 0 and try_element_at(a, -1).stop > s.start then {grown} else array_append(a, s) end as {SPANS}))"
-    kinds = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
+    kinds = "array(" + ", ".join(f"'<{k.upper()}>'" for k in ALL_KINDS) + ")"
     begin = "if(i = 0, b.low, b.own[i - 1].stop)"
     piece = f"concat(substring(b.part, {begin} - b.low + 1, s.start - {begin}), element_at({kinds}, s.rank + 1))"
     low = f"if(k = 0, 0, u[{BLOCK} * k - 1].stop)"
@@ -133,32 +158,37 @@ def masked(text: str, spans: str) -> str:
     return f"case when size({spans}) = 0 then {text} else element_at(transform(array({united}), u -> {whole}), 1) end"
 
 
-def redacted(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs with <KIND> in place of each span in its texts; null text becomes empty text; n_chars, if there, is counted anew.
+KEY = "md5(coalesce(text, ''))"
+
 
-    docs has to be read from files (or be as steady), as its rows are numbered twice.
-    """
-    row, spans = fresh(docs, "row_number"), fresh(docs, "found_spans")
-    found = found_spans(docs, least).filter("size(spans) > 0").select(F.col("row").alias(row), F.col("spans").alias(spans))
-    each = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left").withColumn("text", F.coalesce("text", F.lit("")))
+def redacted(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """docs with <KIND> in place of each span in its texts; null text becomes empty text; n_chars, if there, is counted anew."""
+    key, spans = fresh(docs, "text_key"), fresh(docs, "found_spans")
+    scratch = Scratch(docs.sparkSession, "pii")
+    found = found_spans(docs, least, scratch).filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("spans"))
+    found = scratch.keep(found.select(F.col("key").alias(key), F.col("spans").alias(spans)))
+    each = docs.withColumn(key, F.expr(KEY)).join(found, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
     out = each.withColumn(spans, F.coalesce(spans, F.expr(f"cast(array() as {SPANS})")))
     return recounted(out.withColumn("text", F.expr(masked("text", spans))).select(*docs.columns))
 
 
-def found_spans(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(row, doc_id, base, spans) of docs(doc_id, text): row numbers the rows, base and spans are arrays of (start, rank, stop)."""
-    scratch = Scratch(docs.sparkSession, "pii")
-    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = scratch.keep(instances(base_spans(read)).select("row", "doc_id", F.expr(f"cast(spans as {SPANS})").alias("base"), "words"))
-    each = rows.filter("size(words) > 0").select("row", F.explode("words").alias("w")).select("row", "w.*")
-    good = scratch.keep(trusted(each, least))
-    new = each.filter("rank is null").join(good, "pattern").groupBy("row").agg(F.collect_list(F.struct("start", F.col("found").alias("rank"), "stop")).alias("new"))
+def found_spans(docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(key, doc_id, base, spans) of docs(doc_id, text): key names the text, base and spans are arrays of (start, rank, stop)."""
+    read = docs.select("doc_id", F.expr(KEY).alias("key"), "text")
+    rows = scratch.keep(instances(base_spans(read)).select("key", "doc_id", F.expr(f"cast(spans as {SPANS})").alias("base"), "words"))
+    # What is found in a text follows from its bytes, so that equal texts are one.
+    each = scratch.keep(rows.filter("size(words) > 0").groupBy("key").agg(F.first("words").alias("words")).select("key", F.explode("words").alias("w")).select("key", "w.*"))
+    edges = each.select("value", "rank", F.explode("patterns").alias("pattern"))
+    good = scratch.keep(trusted(edges, least))
+    hits = each.filter("not base").select("key", "start", "stop", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    one = hits.groupBy("key", "start", "stop").agg(F.max_by("found", F.struct("p", -F.col("found"))).alias("rank"))
+    new = scratch.keep(one.groupBy("key").agg(F.collect_list(F.struct("start", "rank", "stop")).alias("new")))
     every = F.expr(f"array_sort(concat(base, coalesce(cast(new as {SPANS}), cast(array() as {SPANS}))))")
-    return rows.join(new, "row", "left").select("row", "doc_id", "base", every.alias("spans"))
+    return rows.join(new, "key", "left").select("key", "doc_id", "base", every.alias("spans"))
 
 
 def personal_data(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of docs(doc_id, text)."""
-    found = found_spans(docs, least)
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of docs(doc_id, text); n_added: spans that only the method finds."""
+    found = found_spans(docs, least, Scratch(docs.sparkSession, "pii"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.rank = {n})) as bigint)").alias(f"n_{k}") for n, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"), F.expr("cast(size(spans) - size(base) as bigint)").alias("n_added"))
