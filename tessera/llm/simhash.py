@@ -12,8 +12,9 @@ then joined by the same recursion down to small blocks that are compared outrigh
 its links, never its pairs: one edge a point at most.
 
 The stage form (representatives) links by the exact Jaccard similarity of whole shingle sets. Its radius would be too wide for a partition of
-64-bit Hamming space, so its candidates share a key of LSH bands over least hashes. Members of a bucket first meet its pivots; those not
-joined to the bucket's largest component then meet all members, so that no candidate pair between components goes unverified.
+64-bit Hamming space, so its candidates share a key of LSH bands over least hashes. Members of a bucket first meet its pivots, a row a member. Those of
+buckets that still hold several components are then joined exactly by their rarest shingles, so that no candidate pair between components goes unverified, and texts with a
+common passage aren't all paired.
 
 Null text is empty text: fingerprint zero, linked like any other. Null ids are kept, and take their group's smallest known id
 (null if there is none). Repeated rows are all returned. An empty table gives no rows. Other columns are not read.
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """(doc_id, fingerprint, component_id) of docs(doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(fingerprints(docs.select("doc_id", "text"), words))
-    every = grouped(marked, radius, scratch)
+    every = scratch.keep(grouped(marked, radius, scratch))  # written first, so that AQE may split a fingerprint of very many texts
     return marked.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -320,18 +321,47 @@ def similar_sets(points: DataFrame, texts: DataFrame, words: int, similarity: fl
         named = scratch.keep(named)
         mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("uid", F.xxhash64("uid", F.lit(turn))).alias("pivot")).filter("low <> high")
         inside = scratch.keep(named.join(mixed.select("key", "pivot"), "key"))
-        if turn < PIVOTS:  # one more member of a bucket meets all others: one row a member
-            own = inside.filter("uid = pivot").select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-        else:  # all members outside the bucket's largest component meet all members
-            large = inside.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("large"))
-            own = inside.join(large, "key").filter("c <> large").select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+        if turn == PIVOTS:  # members of buckets that are still of several components: an exact join of their sets by their rarest shingles
+            inside = scratch.keep(prefixes(inside.select("uid", "n", "c").distinct(), sets, similarity, scratch))
+            own = inside
+        else:  # one more member of a bucket meets all others: one row a member
+            own, inside = inside.filter("uid = pivot").withColumn("rest", F.col("n")), inside.withColumn("rest", F.col("n"))
+        own = own.select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("rest").alias("arest"))
         near = (F.col("c") != F.col("ac")) & (F.least("n", "an") >= similarity * F.greatest("n", "an") - 1e-9)
+        if turn == PIVOTS:  # what follows the first shingle that two sets share must be enough for the shingles that they have to share
+            near = near & (F.col("a") < F.col("uid")) & (F.least("rest", "arest") >= similarity / (1 + similarity) * (F.col("n") + F.col("an")) - 1e-9)
         pairs = own.join(inside, "key").filter(near).select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
         links = links.unionByName(scratch.keep(verified(pairs, sets, similarity)))
         scratch.drop(named)
     return components(links, scratch)
 
 
+def prefixes(points: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(key, uid, n, c, rest) of the shingles of each of points(uid, n, c) that a similar set must share one of: its rarest ones, all but similarity of them.
+
+    rest: how many of its shingles stand from this one on in the order.
+
+    Two sets of at least similarity share a shingle among these, whatever order is taken for all; with the rarest first, a passage that many texts share brings none of
+    them together. Shingles of one set only come first in the order and never meet; the others are counted before they are dealt out.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                flat = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
+                n = len(flat)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(i)[k], n) for i in range(3)), pa.array(flat)], ["uid", "n", "c", "key"])
+
+    every = scratch.keep(points.join(sets, "uid").select("uid", "n", "c", "hashes").mapInArrow(listed, "uid long, n long, c long, key long"))
+    common = scratch.keep(every.groupBy("key").count().filter("count > 1"))
+    met = every.join(common, "key")
+    ordered = met.groupBy("uid", "n", "c").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"))
+    # ceil(similarity * n) of n have to be shared, so that one of the first n - that + 1 is; n - size(keys) stand in this set only.
+    room = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("keys"))
+    chosen = ordered.withColumn("room", room.cast("int")).filter("room > 0").select("uid", "n", "c", F.size("keys").alias("common"), F.posexplode(F.slice("keys", 1, F.col("room"))).alias("place", "k"))
+    return chosen.select("k.key", "uid", "n", "c", (F.col("common") - F.col("place")).cast("long").alias("rest"))
+
+
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs with one row of each group of near copies left: that of the smallest id (nulls last), the first of repeated rows.
 
