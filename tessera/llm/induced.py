@@ -6,15 +6,16 @@ queue's entry before) in sorted order; a scan takes the queues in the order of t
 it takes at the end of its own letter's queue, first for the L types upwards, then for the S types downwards. A predecessor's common
 prefix is one more than the least on the way from the last one put into the same queue, a range minimum; so prefix lengths come with the
 entries and the text is not looked at again but for the seams of L and S types. Queues over their share of memory go to files in a
-temporary folder and are read back when the scan comes to their letter. A scan never needs the sorted array as a whole: neighbours whose
+temporary folder, in segments of bounded size, and are read back segment by segment when the scan comes to their letter; the folder goes with its owner, after an exception too.
+The shard's text, types and names stay in memory (about 60 bytes a byte of text), so callers bound a shard; the queues are what may be far larger than their memory. A scan never needs the sorted array as a whole: neighbours whose
 common prefix reaches width are marked as they pass.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
+from collections import deque
 
 import numpy as np
 
@@ -24,47 +25,66 @@ NONE = np.iinfo(np.int32).max
 
 
 class Queues:
-    """A queue of (position, prefix) arrays for each letter, in memory up to a bound, then in files."""
+    """A first-in-first-out queue of (position, prefix) segments for each letter; all together hold at most `most` entries in memory, the rest is in files.
 
-    def __init__(self, letters: int, held: int):
-        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(letters)]
-        self.most, self.held, self.folder = held, 0, ""
-        self.filed: set[int] = set()
+    What a scan puts in comes in sorted order for each letter, so that the queues, taken by letter, are the priority queue of the induction. A segment is what is
+    put in or read back at once, `most` entries at most, so that taking from a long queue holds no more than putting into it.
+    """
+
+    def __init__(self, letters: int, most: int):
+        self.segments: list[deque] = [deque() for _ in range(letters)]
+        self.most, self.held, self.files, self.folder = max(1, most), 0, 0, None
 
     def put(self, letter: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
-        self.parts[letter].append((positions, prefixes))
-        self.held += len(positions)
-        if self.held > self.most:
-            self.spill()
+        for at in range(0, len(positions), self.most):
+            part = (positions[at : at + self.most], prefixes[at : at + self.most])
+            if self.held + len(part[0]) > self.most:
+                self.spill()
+            self.segments[letter].append(part)
+            self.held += len(part[0])
 
     def spill(self) -> None:
-        self.folder = self.folder or tempfile.mkdtemp(prefix="induced-")
-        for letter, parts in enumerate(self.parts):
-            if parts:
-                with open(f"{self.folder}/{letter}", "ab") as f:
-                    for positions, prefixes in parts:
-                        np.stack([positions, prefixes.astype(np.int64)], 1).tofile(f)
-                self.filed.add(letter)
-                self.parts[letter] = []
+        """Moves all that is in memory to files; neighbours of a letter go into one file, up to `most` entries."""
+        self.folder = self.folder or tempfile.TemporaryDirectory(prefix="induced-")
+        for segments in self.segments:
+            kept: deque = deque()
+            together: list[np.ndarray] = []
+
+            def close(kept: deque = kept, together: list[np.ndarray] = together) -> None:
+                if together:
+                    path = f"{self.folder.name}/{self.files}"
+                    self.files += 1
+                    np.concatenate(together).tofile(path)
+                    kept.append(path)
+                    together.clear()
+
+            for one in segments:
+                if isinstance(one, str):
+                    close()
+                    kept.append(one)
+                else:
+                    together.append(np.stack([one[0], one[1].astype(np.int64)], 1))
+            close()
+            segments.clear()
+            segments.extend(kept)
         self.held = 0
 
-    def take(self, letter: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All that the letter's queue holds now, in order."""
-        parts = self.parts[letter]
-        self.parts[letter] = []
-        self.held -= sum(len(p[0]) for p in parts)
-        if letter in self.filed:
-            rows = np.fromfile(f"{self.folder}/{letter}", np.int64).reshape(-1, 2)
-            os.remove(f"{self.folder}/{letter}")
-            self.filed.remove(letter)
-            parts = [(rows[:, 0], rows[:, 1].astype(np.int32)), *parts]
-        if not parts:
+    def take(self, letter: int, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The first segment of the letter's queue, or the last one."""
+        segments = self.segments[letter]
+        if not segments:
             return None
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        one = segments.pop() if last else segments.popleft()
+        if not isinstance(one, str):
+            self.held -= len(one[0])
+            return one
+        rows = np.fromfile(one, np.int64).reshape(-1, 2)
+        os.remove(one)
+        return rows[:, 0], rows[:, 1].astype(np.int32)
 
     def close(self) -> None:
         if self.folder:
-            shutil.rmtree(self.folder, ignore_errors=True)
+            self.folder.cleanup()
 
 
 class Least:
@@ -189,15 +209,16 @@ class Induction:
                 sends(down, started, least, where, prefix, (where > 0) & (text[where - 1] <= c))
             if c == 0 and mark is None:
                 out.append(np.array([len(text) - 1]))
-            if (got := kept.take(c)) is not None:
+            carry = None  # the common prefix of the last entry that was taken with the one before it
+            while (got := kept.take(c, last=True)) is not None:
                 where, prefix = got
                 back = where[::-1]
                 shifted = np.append(0, prefix[:0:-1]).astype(np.int32)
-                shifted[0] = carry if last >= 0 and (carry := seam(last, int(back[0]))) else 0
+                shifted[0] = carry if carry is not None else seam(last, int(back[0])) if last >= 0 else 0
                 if mark is not None:
                     mark(np.append(last if last >= 0 else back[0], back[:-1]), back, shifted)
                 sends(down, started, least, back, shifted, (back > 0) & (text[back - 1] < c))
-                last = int(back[-1])
+                last, carry = int(back[-1]), int(prefix[0])
         down.close()
         kept.close()
         return np.concatenate(out)[::-1] if out else np.zeros(0, np.int64)

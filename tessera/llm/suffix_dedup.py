@@ -263,6 +263,8 @@ def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[Dat
 
     third = left.withColumn("shard", F.pmod(F.xxhash64("h", "b", "core"), F.lit(shards))).groupBy("shard").applyInArrow(work, "k1 long, k2 long, a long, b long")
     third = third.select("k1", "k2", F.struct("a", "b").alias("s"))
+    # Each is written by itself: below a union AQE would not split the join of a run or block that stands in very many places.
+    first, second, third, fourth = (scratch.keep(x.distinct()) for x in (first, second, third, fourth))
     lost = first.unionByName(second).unionByName(third).unionByName(fourth).distinct().groupBy("k1", "k2").agg(F.collect_list("s").alias("spans"))
     return copied, scratch.keep(lost)
 
