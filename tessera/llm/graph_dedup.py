@@ -33,6 +33,8 @@ from .simhash import Forest
 CELL, MEDOIDS, APART, DEALT = 4_000, 32_768, 0.8, 16_384
 #: Points of a cluster in a task, candidates and neighbours of a point, the pruning factor, hops of the greedy walk, queries at once.
 CLUSTER, CANDIDATES, DEGREE, ALPHA, HOPS, QUERIES = 500, 48, 24, 1.2, 12, 256
+#: How much wider than the link angle the walk's range is.
+WIDER = 1.15
 #: Audited queries of a task, the share of their links to find, links that an audit has to hold at least.
 AUDIT, RECALL, TRUE = 48, 0.99, 100
 
@@ -120,14 +122,21 @@ def expand(rows: np.ndarray, nodes: np.ndarray, offsets: np.ndarray, targets: np
     return np.repeat(rows, sizes), targets[first + np.arange(sizes.sum())]
 
 
-def search(queries: np.ndarray, points: np.ndarray, built: tuple, cosine: float) -> np.ndarray:
-    """(query, point) flags of the points that a range-expanding walk finds at cosine or more."""
+def search(queries: np.ndarray, points: np.ndarray, built: tuple, cosine: float, same: np.ndarray) -> np.ndarray:
+    """(query, point) flags of the points that a range-expanding walk finds at cosine or more.
+
+    A query that is one of the points starts there as well. The range that is expanded is wider than the one that is asked for by the factor WIDER in angle, as points on
+    its edge may have no neighbour inside.
+    """
     offsets, targets, starts = built
     score = np.full((len(queries), len(points)), -np.inf)
     open_ = np.zeros(score.shape, bool)
     score[:, starts] = queries @ points[starts].T
     open_[:, starts] = True
     every = np.arange(len(queries))
+    placed = np.flatnonzero(same >= 0)
+    score[placed, same[placed]], open_[placed, same[placed]] = 1, True
+    reach = np.cos(min(np.pi, WIDER * np.arccos(cosine)))
 
     def visit(rows: np.ndarray, nodes: np.ndarray) -> None:
         open_[rows, nodes] = False
@@ -147,7 +156,7 @@ def search(queries: np.ndarray, points: np.ndarray, built: tuple, cosine: float)
             break
         visit(every[live], best[live])
     while True:
-        rows, nodes = np.nonzero(open_ & (score >= cosine))
+        rows, nodes = np.nonzero(open_ & (score >= reach))
         if not len(rows):
             return score >= cosine
         visit(rows, nodes)
@@ -165,11 +174,11 @@ def link(points: np.ndarray, copies: np.ndarray, queries: np.ndarray, same: np.n
     exact = bool(true.sum() < TRUE)
     if not exact:
         built = graph(points)
-        exact = bool((search(queries[audit], points, built, cosine) & true).sum() < RECALL * true.sum())
+        exact = bool((search(queries[audit], points, built, cosine, same[audit]) & true).sum() < RECALL * true.sum())
     for at in range(0, len(queries), QUERIES):
         some = queries[at : at + QUERIES]
-        hits = some @ points.T >= cosine if exact else search(some, points, built, cosine)
         own = same[at : at + QUERIES]
+        hits = some @ points.T >= cosine if exact else search(some, points, built, cosine, own)
         who = np.flatnonzero(own >= 0)
         hits[who, own[who]] = False
         counts[at : at + QUERIES] = hits @ copies
