@@ -270,6 +270,11 @@ def label_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("split", "label_source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def shortest(lines: DataFrame, most: int) -> DataFrame:
+    """The shortest lines, for a quick trial run; ties by segment_id."""
+    return lines.orderBy("duration", "segment_id").limit(most)
+
+
 def bundle_check(lines: DataFrame, files: DataFrame, language: str = "mr") -> DataFrame:
     """(split, segments, wrong_language, missing_audio, hours) of manifest lines against files(path)."""
     there = lines.join(files.select(F.col("path").alias("audio_filepath"), F.lit(True).alias("_there")).distinct(), "audio_filepath", "left")

@@ -293,9 +293,9 @@ def state_files(spark, d):
     """State as JSON, replaced, read back; broken and missing files are empty."""
     root = shared.fresh_path(spark, "state")
     tables.write_json(spark, f"{root}/progress.json", {"completed": ["old"]})
-    tables.write_json(spark, f"{root}/progress.json", {"completed": ["b", "a", "b"]})
-    tables.write_json(spark, f"{root}/failed.json", {"failed": [{"chapter": "c", "reason": "r", "attempts": 3}]})
     tables.write_json(spark, f"{root}/broken.json", [1, 2])
+    tables.write_completed(spark.createDataFrame([("b",), ("a",), ("b",)], "chapter_id string"), f"{root}/progress.json")
+    tables.write_failed(spark.createDataFrame([("c", "old", 1, 0), ("c", "r", 3, 1)], "chapter string, reason string, attempts int, seq long"), f"{root}/failed.json")
     done = tables.read_completed(spark, f"{root}/progress.json").unionByName(tables.read_completed(spark, f"{root}/broken.json")).unionByName(tables.read_completed(spark, f"{root}/missing.json"))
     failed = tables.read_failed(spark, f"{root}/failed.json").unionByName(tables.read_failed(spark, f"{root}/broken.json"))
     return done.select(F.col("chapter_id").alias("chapter"), F.lit("done").alias("state")).unionByName(failed.select("chapter", F.concat("reason", F.col("attempts").cast("string")).alias("state")))

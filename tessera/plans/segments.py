@@ -90,6 +90,11 @@ def held_out_leaks(spark, d):
     return gold.leaked_chapters(rows, TEST, VALIDATION)
 
 
+def shortest_lines(spark, d):
+    lines = gold.manifest_lines(gold.routed(s.gold(spark, d), TEST, VALIDATION, unverified=True))
+    return gold.shortest(lines.filter("duration is not null"), 16).select("segment_id", "duration")
+
+
 def bundle_check(spark, d):
     lines = gold.manifest_lines(gold.routed(s.gold(spark, d), TEST, VALIDATION))
     files = s.table(spark, d, "documents").filter("source <> 'src3'").select(F.concat(F.lit("audio/"), "source", F.lit(".wav")).alias("path")).distinct()
@@ -258,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gold_references, pseudo_eligible, gold_violations, seeded_segments, imported_segments, reviewed_segments, accepted_decisions, evaluation_export, review_queue, review_progress,
-        manifest_lines, manifest_line_summary, manifest_label_counts, held_out_leaks, bundle_check, chapter_segment_ids, manifest_violations, manifest_upsert, audio_manifest, customer_splits,
+        manifest_lines, manifest_line_summary, manifest_label_counts, held_out_leaks, shortest_lines, bundle_check, chapter_segment_ids, manifest_violations, manifest_upsert, audio_manifest, customer_splits,
         manifest_splits, customer_leaks, dataset_statistics, dataset_counts, dataset_problems, dataset_counters, sorted_manifest, pseudonyms, key_hashes, gated_recordings, registered_recordings, withdrawal,
         triage_scores, triage_status_counts, triage_by_chapter, triage_flag_counts, triage_review_counts, triage_distributions, triage_updates, flags_of_turns, flag_counts, text_signals_of_turns, speaking_rates,
         event_value_quantiles, event_type_counts, status_by_priority,
@@ -369,6 +374,7 @@ ORACLE_SQL = {
     "manifest_lines": f'{LINES} select split, audio_filepath, "offset", duration, text_md5, lang, segment_id, label_source from lines',
     "manifest_line_summary": f"{LINES} select split, count(*) as segments, cast(format('{{:.3f}}', sum(duration::decimal(18,3))::double / 3600) as double) as hours, count(distinct source_chapter) as chapters from lines group by 1",
     "manifest_label_counts": f"{LINES} select split, label_source, count(*) as n from lines group by 1, 2",
+    "shortest_lines": f"{LINES} select segment_id, duration from lines where duration is not null order by duration, segment_id limit 16",
     "held_out_leaks": f"with {s.GOLD} select distinct source_chapter from gold where seq % 11 = 0 and source_chapter in ('src0', 'src1', 'src2')",
     "bundle_check": f"with {s.GOLD}, {ROUTED.replace('UNVERIFIED', 'false')} select split, count(*) as segments, count(*) filter (where label_source = 'GOLD_CORRECTED') as wrong_language, count(distinct case when source_chapter = 'src3' then audio_filepath end) as missing_audio, {six('sum(duration::decimal(18,3))::double / 3600')} as hours from lines group by 1",
     "chapter_segment_ids": "select 'v' || conv_id as chapter, turn, 'v' || conv_id || '_a' || printf('%03d', row_number() over (partition by conv_id order by turn) - 1) as segment_id from conversations",

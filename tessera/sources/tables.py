@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessera.operators import gold, manifests
+from tessera.operators import gold, logs, manifests
 
 #: The columns of the files.
 PREDICTIONS = ("audio_path", "reference", "prediction", "duration_sec", "inference_time_sec", "status", "error_message")
@@ -132,6 +132,18 @@ def write_json(spark: SparkSession, path: str, data: Any) -> None:
     context.rename(files.makeQualified(aside), files.makeQualified(made), flags)
 
 
+def write_completed(completed: DataFrame, path: str) -> None:
+    """{"completed": [...]}: the distinct ids in order, replaced at once. A list of chapters, so it fits in the driver."""
+    ids = completed.agg(F.array_sort(F.collect_set("chapter_id")).alias("ids")).first()["ids"]
+    write_json(completed.sparkSession, path, {"completed": ids})
+
+
+def write_failed(failed: DataFrame, path: str) -> None:
+    """{"failed": [...]}: the last entry of each chapter, in the place of its first; failed(chapter, reason, attempts, seq)."""
+    kept = logs.keep_last_at_first(failed, "chapter", "seq").orderBy("place").collect()
+    write_json(failed.sparkSession, path, {"failed": [{k: r[k] for k in ("chapter", "reason", "attempts")} for r in kept]})
+
+
 def write_csv(rows: DataFrame, path: str, columns: tuple[str, ...], order: list[str] | None = None) -> None:
     """Replaces a folder of CSV files with a header and the given columns; rows with other columns are an error, as are missing ones."""
     if set(rows.columns) != set(columns):
