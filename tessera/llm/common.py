@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds between two calls that hand memory back, at least.
+TRIM_EVERY = 3.0
+_trimmed = 0.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +47,12 @@ def fresh(docs: DataFrame, name: str) -> str:
 def trimmed(spark: SparkSession) -> None:
     """Has the driver's JVM hand the native memory that it has freed back to the system: hundreds of short jobs leave its allocator's arenas in pieces.
 
-    By the JVM's own diagnostic command; one without it is left as it is.
+    By the JVM's own diagnostic command, every few seconds at most; a JVM without it is left as it is.
     """
+    global _trimmed
+    if time.monotonic() - _trimmed < TRIM_EVERY:
+        return
+    _trimmed = time.monotonic()
     from py4j.protocol import Py4JJavaError
 
     jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
@@ -58,6 +68,30 @@ def trimmed(spark: SparkSession) -> None:
             raise
 
 
+def released() -> None:
+    """Hands the memory that a Python worker has freed back to the system: workers stay for later tasks, and an executor holds several."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow that hands its memory back when its task is done."""
+
+    def each(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return each
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage: a lost executor costs its tasks, not the stages before."""
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 from .word_tokens import WordTokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), PIECES)
 
 
 def best_configuration(prices: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
@@ -307,4 +307,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
             sequence, offset = place(lengths, ranks, where)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(run), PIECES + ", sequence_id long, offset long")

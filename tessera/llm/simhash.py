@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_slices, components, fresh
+from .common import Scratch, byte_slices, components, fresh, frugal
 
 #: Points in the sample that the top of the tree is built on, points in a shard (more only where the tree is full), most shards, and points of a block.
 SAMPLE, SHARD, SHARDS, BLOCK = 16_384, 4_000, 4096, 96
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Stage form: LSH bands, least hashes of a band (a pair at 0.8 shares no band with chance (1 - 0.8**5)**30 = 7e-6), turns of pivots.
 BANDS, DEEP, PIVOTS = 30, 5, 2
 LANES = np.uint64(0x0101010101010101)
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, fp long" + ", row long" * len(more))
+    return docs.select("doc_id", "text", *more).mapInArrow(frugal(run), "doc_id long, fp long" + ", row long" * len(more))
 
 
 def apart(points: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -219,7 +219,7 @@ def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
         a, b = join_shard(points, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
+    return distinct.select("fp").mapInArrow(frugal(deal), "shard int, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
 
 
 def grouped(marked: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
@@ -270,7 +270,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), sizes, bands], ["doc_id", "row", "k1", "k2", "n", "bands"])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, k1 long, k2 long, n long, bands array<long>")
+    return docs.select("doc_id", "text", "row").mapInArrow(frugal(run), "doc_id long, row long, k1 long, k2 long, n long, bands array<long>")
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
@@ -288,7 +288,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 found = [shingles(raw, words).tobytes() for raw in texts.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["uid", "hashes"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, hashes binary")
+    return docs.select("uid", "text").mapInArrow(frugal(run), "uid long, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -305,7 +305,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     left = sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
 
 
 def similar_sets(points: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -347,12 +347,13 @@ def prefixes(points: DataFrame, sets: DataFrame, similarity: float, scratch: Scr
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                flat = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
-                n = len(flat)
-                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(i)[k], n) for i in range(3)), pa.array(flat)], ["uid", "n", "c", "key"])
+            sizes = pc.binary_length(batch.column(3)).to_numpy()
+            for a, b in byte_slices(sizes, SLICE):
+                some, n = batch.slice(a, b - a), sizes[a:b] // 8
+                flat = np.frombuffer(b"".join(some.column(3).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(some.column(i).to_numpy(), n)) for i in range(3)), pa.array(flat)], ["uid", "n", "c", "key"])
 
-    every = scratch.keep(points.join(sets, "uid").select("uid", "n", "c", "hashes").mapInArrow(listed, "uid long, n long, c long, key long"))
+    every = scratch.keep(points.join(sets, "uid").select("uid", "n", "c", "hashes").mapInArrow(frugal(listed), "uid long, n long, c long, key long"))
     common = scratch.keep(every.groupBy("key").count().filter("count > 1"))
     met = every.join(common, "key")
     ordered = met.groupBy("uid", "n", "c").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Scratch, byte_slices, recounted
+from .common import Scratch, byte_slices, frugal, recounted
 from .induced import repeated_windows
 
 #: Bytes of a gram, windows of a block, bytes of text that are hashed at once (of a long text too; about 15 words of 8 bytes each are held), bytes of a shard for sorting, about.
@@ -131,7 +131,7 @@ def all_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     columns = [h, keys[own, 0], keys[own, 1], p + move, (p - last).astype(np.int32), (p - first).astype(np.int32), f]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "k2", "p", "t0", "t1", "f"])
 
-    return docs.select("text").mapInArrow(run, RUNS)
+    return docs.select("text").mapInArrow(frugal(run), RUNS)
 
 
 def twice(rows: DataFrame, *by: str) -> DataFrame:
@@ -198,7 +198,7 @@ def blocks(texts: DataFrame, open_runs: DataFrame, width: int) -> DataFrame:
         if held:
             yield cut(held)
 
-    return one.mapInArrow(run, schema)
+    return one.mapInArrow(frugal(run), schema)
 
 
 def single_windows(left: DataFrame, width: int) -> DataFrame:
@@ -215,7 +215,7 @@ def single_windows(left: DataFrame, width: int) -> DataFrame:
             columns = [h, k1, k2, p, (t1 - at).astype(np.int32), np.concatenate(f) if f else np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "k2", "p", "t", "f"])
 
-    return left.select("h", "k1", "k2", "p", "t1", "bytes").mapInArrow(run, "h long, k1 long, k2 long, p long, t int, f long")
+    return left.select("h", "k1", "k2", "p", "t1", "bytes").mapInArrow(frugal(run), "h long, k1 long, k2 long, p long, t int, f long")
 
 
 def spans(docs: DataFrame, width: int, scratch: Scratch, gram: int) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +305,7 @@ def removals(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = joined(docs.select("doc_id", "text"), width, gram).select("doc_id", "raw", "spans", "copied")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_texts(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
@@ -325,5 +325,5 @@ def kept_texts(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame
     packed = docs.select("text", F.struct(*others).alias("row"))
     found = joined(packed, width, gram).select("row", "raw", "spans", "copied")
     kind = StructType([StructField("row", StructType([docs.schema[c] for c in others])), StructField("text", StringType())])
-    flat = found.mapInArrow(run, kind)
+    flat = found.mapInArrow(frugal(run), kind)
     return recounted(flat.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]))

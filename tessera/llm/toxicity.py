@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import Scratch, byte_slices, fresh
+from .common import Scratch, byte_slices, fresh, frugal, released
 
 #: Bounds of the labelled sample: documents of each label, and bytes of hashed words of each label (20 a word); the hash tables' rows, embedding and filters of each width; documents a step, steps, rates.
 POSITIVES, NEGATIVES, BYTES = 3_000, 6_000, 128 << 20
@@ -40,7 +40,7 @@ ROWS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 BEGINNINGS = (4, 5, 6, 7)
 KINDS = 1 + len(BEGINNINGS)
 BATCH, STEPS, RATE = 64, 800, 0.05
-SLICE = 2 << 20
+SLICE = 512 << 10
 #: Thresholds that are tried, close to each other near 0 and 1, as scores before the bend crowd there.
 GRID = 1 / (1 + np.exp(-np.linspace(-8, 8, 161)))
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -228,7 +228,7 @@ def words_of(docs: DataFrame) -> DataFrame:
             found = [hashed(x.as_py()).tobytes() for x in pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.binary())], ["doc_id", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, words binary")
 
 
 def allowed(labels: DataFrame, seen: str) -> DataFrame:
@@ -274,6 +274,7 @@ def fit(docs: DataFrame, known: DataFrame, scratch: Scratch) -> tuple[Model | No
         words = [np.frombuffer(by_id[i][0].as_py(), np.uint32).reshape(-1, KINDS) for i in order_]
         model = Model()
         model.fit(words, np.array([by_id[i][1] for i in order_], np.float32))
+        released()
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     made = found.join(F.broadcast(told), "doc_id").groupBy(F.lit(0).alias("all")).applyInArrow(train, "model binary").first()
@@ -336,7 +337,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, seen: str, cut: float, scrat
 
     docs_at = {k: i for i, k in enumerate(docs.columns)}
     schema = StructType([*(docs.schema[k] for k in keep), StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
-    rows = scratch.keep(docs.mapInArrow(run, schema))
+    rows = scratch.keep(docs.mapInArrow(frugal(run), schema))
     calibrated(model, rows, names, known, fitted)
     bend = F.element_at(F.array(*[F.lit(float(x)) for x in model.bend]), F.col(names[1]) + 1)
     raw = F.col(names[0])
