@@ -70,14 +70,18 @@ class Queues:
         self.held = 0
 
     def take(self, letter: int, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
-        """The first segment of the letter's queue, or the last one."""
+        """The first segment of the letter's queue, or the last one; neighbours in memory, which are bounded together, come at once."""
         segments = self.segments[letter]
         if not segments:
             return None
         one = segments.pop() if last else segments.popleft()
         if not isinstance(one, str):
-            self.held -= len(one[0])
-            return one
+            together = [one]
+            while segments and not isinstance(segments[-1 if last else 0], str):
+                together.append(segments.pop() if last else segments.popleft())
+            together = together[::-1] if last else together
+            self.held -= sum(len(x[0]) for x in together)
+            return (np.concatenate([x[0] for x in together]), np.concatenate([x[1] for x in together])) if len(together) > 1 else one
         rows = np.fromfile(one, np.int64).reshape(-1, 2)
         os.remove(one)
         return rows[:, 0], rows[:, 1].astype(np.int32)
