@@ -11,10 +11,13 @@ outside. No pair is lost, and the overlap is two of the 65 distances, not a shel
 then joined by the same recursion down to small blocks that are compared outright. A shard reports a spanning forest of
 its links, never its pairs: one edge a point at most.
 
-The stage form (representatives) links by the exact Jaccard similarity of whole shingle sets. Its radius would be too wide for a partition of
-64-bit Hamming space, so its candidates share a key of LSH bands over least hashes. Members of a bucket first meet its pivots, a row a member. Those of
-buckets that still hold several components are then joined exactly by their rarest shingles, so that no candidate pair between components goes unverified, and texts with a
-common passage aren't all paired.
+The stage form (representatives) links by the exact Jaccard similarity of whole shingle sets. Its candidates are found by fingerprints too, of WIDE * 64 bits
+of each set, within REACH bits. A bit of two sets of similarity 0.8 differs with a chance of at most 0.1875 (4 of 5 shingles; 0.161 from 12 on), so that
+such a pair is missed with a chance of 1e-5 (3e-8); sets without a common shingle are within it with one of 5e-11. The same tree deals them into shards. Independent texts are
+all about equally far apart, and no partition of Hamming space parts them at such a radius, so a shard that stays large is cut by the sets' sizes,
+which similar sets share up to a factor, and into lots: every pair of lots that may hold links is a task, compared outright. Each task reports a
+spanning forest. Members of a group of close fingerprints first meet its pivots, a row a member. Those of groups that still hold several components
+are then joined exactly by their rarest shingles, so that no candidate pair between components goes unverified, and texts with a common passage aren't all paired.
 
 Null text is empty text: fingerprint zero, linked like any other. Null ids are kept, and take their group's smallest known id
 (null if there is none). Repeated rows are all returned. An empty table gives no rows. Other columns are not read.
@@ -35,9 +38,12 @@ from .common import Scratch, byte_slices, components, fresh, frugal
 #: Points in the sample that the top of the tree is built on, points in a shard (more only where the tree is full), most shards, and points of a block.
 SAMPLE, SHARD, SHARDS, BLOCK = 16_384, 4_000, 4096, 96
 SLICE = 1 << 20
-#: Stage form: LSH bands, least hashes of a band (a pair at 0.8 shares no band with chance (1 - 0.8**5)**30 = 7e-6), turns of pivots.
-BANDS, DEEP, PIVOTS = 30, 5, 2
+#: Stage form: 64-bit words of a fingerprint, differing bits of candidates, in all and in the first two words (1.4e-6 of pairs at 0.8 at worst have more there),
+#: lots that a corpus beyond LOTS * SHARD points is cut in, rows and columns of a tile, turns of pivots.
+WIDE, REACH, HALF, LOTS, TILE, WIDTH, PIVOTS = 4, 76, 46, 64, 16, 4_096, 2
 LANES = np.uint64(0x0101010101010101)
+#: What names a task of the stage form: the shard, and level of sizes and lot of both of its sides.
+MEETING = ["shard", "i", "x", "j", "y"]
 
 
 def hashes(raw: bytes, words: int) -> list[int]:
@@ -240,20 +246,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return marked.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_prints(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of WIDE words of each run of sizes hashes: of the hashes, and of what a mixer makes of them for each further word."""
+    out = [majority(values, sizes)]
+    for k in range(1, WIDE):
+        mixed = values + np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        out.append(majority(mixed ^ (mixed >> np.uint64(31)), sizes))
+    return np.stack(out, 1)
+
+
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row, k1, k2, n, bands) of docs(doc_id, text, row): a 128-bit name and the size of the set of shingles, its keys in LSH bands."""
-    make = np.random.default_rng(17)
-    flips = make.integers(0, 1 << 64, BANDS * DEEP, np.uint64)
-    factors = make.integers(0, 1 << 64, BANDS * DEEP, np.uint64) | np.uint64(1)
-
-    def keys(each: list[np.ndarray]) -> np.ndarray:
-        flat, starts = np.concatenate(each), np.cumsum([0] + [len(e) for e in each[:-1]])
-        out = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(each), 0)
-        for k in range(BANDS * DEEP):
-            least = np.minimum.reduceat((flat ^ flips[k]) * factors[k], starts)
-            own = (out[:, k // DEEP] ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            out[:, k // DEEP] = own ^ (own >> np.uint64(29))
-        return out.view(np.int64)
+    """(doc_id, row, k1, k2, n, fp) of docs(doc_id, text, row): a 128-bit name, the size and the wide fingerprint of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -262,15 +267,164 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
             for a, b in byte_slices(pc.binary_length(texts).to_numpy(), SLICE):
                 each = [shingles(raw, words) for raw in texts.slice(a, b - a).to_pylist()]
-                full = [e for e in each if len(e)]
-                flat = keys(full).ravel() if full else np.zeros(0, np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [BANDS * (len(e) > 0) for e in each]), pa.int32()), pa.array(flat))
+                sizes = np.array([len(e) for e in each], np.int64)
+                prints = [p.tobytes() for p in wide_prints(np.concatenate(each), sizes)]
                 name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(e.tobytes()) for e in each), np.int64).reshape(-1, 2)
-                sizes = pa.array([len(e) for e in each], pa.int64())
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), sizes, bands], ["doc_id", "row", "k1", "k2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(sizes), pa.array(prints, pa.binary())], ["doc_id", "row", "k1", "k2", "n", "fp"])
+
+    return docs.select("doc_id", "text", "row").mapInArrow(frugal(run), "doc_id long, row long, k1 long, k2 long, n long, fp binary")
+
+
+def print_bytes(column: pa.Array) -> np.ndarray:
+    """The fingerprints of a binary column, a row of WIDE words each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+
+
+def wide_apart(points: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(points ^ point).sum(1, dtype=np.int64)
+
+
+def wide_tree(sample: np.ndarray, leaf: float, radius: int) -> list[tuple[np.ndarray, int, int, int]]:
+    """The top of the tree as build() has it. Of some vantage points the one and the cut whose overlapping parts cost least; they often are worth nothing here."""
+    nodes: list[tuple[np.ndarray, int, int, int]] = []
+    shards = 0
+
+    def grow(points: np.ndarray) -> int:
+        nonlocal shards
+        best = None
+        for at in range(0, len(points), max(1, len(points) // 8)) if len(points) > max(leaf, 8) else ():
+            d = wide_apart(points, points[at])
+            below = np.cumsum(np.bincount(d, minlength=64 * WIDE + 1))
+            outside = len(points) - np.concatenate([np.zeros(min(radius, len(below)), np.int64), below])[: len(below)]
+            cost = np.where((below < len(points)) & (outside < len(points)), below**2 + outside**2, len(points) ** 2)
+            cut = int(cost.argmin())
+            if worth(int(below[cut]), int(outside[cut]), len(points)) and (best is None or cost[cut] < best[0]):
+                best = (cost[cut], points[at], d, cut)
+        if best is None:
+            shards += 1
+            return -shards
+        _, vantage, d, cut = best
+        at = len(nodes)
+        nodes.append((vantage, cut, 0, 0))
+        nodes[at] = (vantage, cut, grow(points[d <= cut]), grow(points[d > cut - radius]))
+        return at
+
+    grow(sample)
+    return nodes
+
+
+def wide_route(points: np.ndarray, nodes: list[tuple[np.ndarray, int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard) as route() has it."""
+    rows, shards = [], []
+
+    def go(at: int, who: np.ndarray) -> None:
+        if at < 0 or not nodes:
+            rows.append(who)
+            shards.append(np.full(len(who), max(-at - 1, 0), np.int32))
+        elif len(who):
+            vantage, cut, inside, outside = nodes[at]
+            d = wide_apart(points[who], vantage)
+            go(inside, who[d <= cut])
+            go(outside, who[d > cut - radius])
+
+    go(0, np.arange(len(points)))
+    return np.concatenate(rows), np.concatenate(shards)
+
+
+def join_lots(sides: list[tuple[np.ndarray, np.ndarray]], radius: int, similarity: float) -> np.ndarray:
+    """The tree of each point, after those of two sides(prints, sizes), or of one, that are within radius and may be similar by their sizes are joined."""
+    orders = [np.argsort(n, kind="stable") for _, n in sides]
+    prints = [np.ascontiguousarray(p[o].T) for (p, _), o in zip(sides, orders, strict=True)]
+    sizes = [n[o] for (_, n), o in zip(sides, orders, strict=True)]
+    base = len(sizes[0]) if len(sides) > 1 else 0
+    forest = Forest(base + len(sizes[-1]))
+    words = np.empty((TILE, WIDTH), np.uint64)
+    bits, more = np.empty((2, TILE, WIDTH), np.uint8)
+    for top in range(0, len(sizes[0]), TILE):
+        n, rows = sizes[0][top : top + TILE], prints[0][:, top : top + TILE]
+        low = np.searchsorted(sizes[-1], n[0] * similarity - 1e-6)
+        high = np.searchsorted(sizes[-1], n[-1] / similarity + 1e-6, "right")
+        for left in range(low if base else max(low, top), high, WIDTH):
+            columns = prints[-1][:, left : min(left + WIDTH, high)]
+            shape = np.s_[: len(n), : columns.shape[1]]
+            x, d, e = words[shape], bits[shape], more[shape]
+            np.bitwise_count(np.bitwise_xor(rows[0][:, None], columns[0], out=x), out=d)
+            np.bitwise_count(np.bitwise_xor(rows[1][:, None], columns[1], out=x), out=e)
+            i, j = np.nonzero(np.add(d, e, out=d) <= HALF)
+            while len(i):  # a pair for each row and column at once, until none is left between trees: dense groups never list their pairs
+                between = forest.tree[top + i] != forest.tree[base + left + j]
+                i, j = i[between], j[between]
+                m = sizes[-1][left + j]
+                near = (np.minimum(n[i], m) >= similarity * np.maximum(n[i], m) - 1e-6) & (np.bitwise_count(rows[:, i] ^ columns[:, j]).sum(0, dtype=np.int64) <= radius)
+                i, j = i[near], j[near]
+                first = np.concatenate([np.full(TILE, -1), np.full(WIDTH, -1)])
+                first[i], first[TILE + j] = np.arange(len(i)), np.arange(len(j))
+                picked = first[first >= 0]
+                forest.add(top + i[picked], base + left + j[picked])
+    back = np.concatenate([orders[0], base + orders[1]]) if base else orders[0]
+    out = np.empty(len(back), np.int64)
+    out[back] = back[forest.tree]
+    return out
+
+
+def close_prints(points: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of spanning forests over the points(uid, n, fp) whose fingerprints are within REACH and whose sizes allow the similarity."""
+    points = points.select("uid", "n", "fp").filter(F.col("n") / (F.col("n") + 1) >= similarity - 1e-9)  # the others are similar to none but their equals
+    total = points.count()
+    sample = [bytes(r[0]) for r in points.orderBy(F.xxhash64("uid"), "uid").select("fp").limit(SAMPLE).collect()]
+    shards, block = min(SHARDS, max(1, total // SHARD)), max(SHARD, total // LOTS)
+    nodes = wide_tree(np.frombuffer(b"".join(sample), np.uint64).reshape(-1, WIDE), len(sample) / shards, REACH) if shards > 1 else []
+    step = -np.log(similarity) / 2  # levels of sizes: similar sets are at most two apart, three by rounding
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, shard = wide_route(print_bytes(batch.column(2)), nodes, REACH)
+                some = batch.take(pa.array(row))
+                level = np.floor(np.log(some.column(1).to_numpy()) / step).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(level), *some.columns], ["shard", "level", "uid", "n", "fp"])
+
+    dealt = scratch.keep(points.mapInArrow(frugal(deal), "shard int, level int, uid long, n long, fp binary"))
+    counts: dict[int, dict[int, int]] = {}
+    for shard, level, n in dealt.groupBy("shard", "level").count().collect():
+        counts.setdefault(shard, {})[level] = n
+    lots = {s: {k: -(-n // block) for k, n in own.items()} for s, own in counts.items() if sum(own.values()) > block}
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, level, uid = (batch.column(i).to_numpy() for i in range(3))
+            lot = ((uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            for s, k in sorted(set(zip(shard.tolist(), level.tolist(), strict=True))):
+                mine = np.flatnonzero((shard == s) & (level == k))
+                if s not in lots:
+                    yield placed(batch, mine, s, 0, 0, 0, 0, 0)
+                    continue
+                own = lots[s]
+                for x in range(own[k]):
+                    who = mine[lot[mine] % own[k] == x]
+                    if not len(who):
+                        continue
+                    for other in range(k - 3, k + 4):
+                        for y in range(own.get(other, 0)):
+                            first = (k, x) <= (other, y)
+                            yield placed(batch, who, s, *((k, x, other, y, 0) if first else (other, y, k, x, 1)))
+
+    def placed(batch: pa.RecordBatch, who: np.ndarray, *place: int) -> pa.RecordBatch:
+        some = batch.select(["uid", "n", "fp"]).take(pa.array(who))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.full(len(who), v, np.int32)) for v in place), *some.columns], [*MEETING, "side", "uid", "n", "fp"])
+
+    def join(group: pa.Table) -> pa.Table:
+        side, uid = group.column("side").to_numpy(), group.column("uid").to_numpy()
+        prints, n = print_bytes(group.column("fp")), group.column("n").to_numpy()
+        i, x, j, y = (group.column(c)[0].as_py() for c in MEETING[1:])
+        rows = [np.flatnonzero(side == k) for k in (0, 1)] if (i, x) != (j, y) else [np.arange(len(uid))]
+        tree, uid = join_lots([(prints[r], n[r]) for r in rows], REACH, similarity), uid[np.concatenate(rows)]
+        joined = np.flatnonzero(tree != np.arange(len(tree)))
+        return pa.table({"a": uid[joined], "b": uid[tree[joined]]})
 
-    return docs.select("doc_id", "text", "row").mapInArrow(frugal(run), "doc_id long, row long, k1 long, k2 long, n long, bands array<long>")
+    met = dealt.mapInArrow(frugal(meetings), ", ".join(f"{c} int" for c in [*MEETING, "side"]) + ", uid long, n long, fp binary")
+    return met.groupBy(*MEETING).applyInArrow(join, "a long, b long")
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
@@ -309,11 +463,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_sets(points: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """(node, component) of the points(uid, n, bands) with links of at least similarity; texts(uid, text)."""
-    keyed = points.select("uid", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    member = scratch.keep(keyed.join(shared, "key").select("key", "uid", "n", "pivot"))
-    sets = scratch.keep(shingle_sets(texts.join(member.select("uid").distinct(), "uid", "left_semi"), words))
+    """(node, component) of the points(uid, n, fp) with links of at least similarity; texts(uid, text)."""
+    close = components(scratch.keep(close_prints(points, similarity, scratch)), scratch)
+    own = close.select(F.col("component").alias("key"), F.col("node").alias("uid"), F.col("component").alias("pivot"))
+    member = scratch.keep(own.join(points.select("uid", "n"), "uid").select("key", "uid", "n", "pivot"))
+    sets = scratch.keep(shingle_sets(texts.join(member.select("uid"), "uid", "left_semi"), words))
     links = scratch.keep(verified(member.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), sets, similarity))
 
     for turn in range(PIVOTS + 1):
@@ -321,10 +475,10 @@ def similar_sets(points: DataFrame, texts: DataFrame, words: int, similarity: fl
         named = scratch.keep(named)
         mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("uid", F.xxhash64("uid", F.lit(turn))).alias("pivot")).filter("low <> high")
         inside = scratch.keep(named.join(mixed.select("key", "pivot"), "key"))
-        if turn == PIVOTS:  # members of buckets that are still of several components: an exact join of their sets by their rarest shingles
+        if turn == PIVOTS:  # members of groups that are still of several components: an exact join of their sets by their rarest shingles
             inside = scratch.keep(prefixes(inside.select("uid", "n", "c").distinct(), sets, similarity, scratch))
             own = inside
-        else:  # one more member of a bucket meets all others: one row a member
+        else:  # one more member of a group meets all others: one row a member
             own, inside = inside.filter("uid = pivot").withColumn("rest", F.col("n")), inside.withColumn("rest", F.col("n"))
         own = own.select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("rest").alias("arest"))
         near = (F.col("c") != F.col("ac")) & (F.least("n", "an") >= similarity * F.greatest("n", "an") - 1e-9)
@@ -375,9 +529,9 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     marked = scratch.keep(signed(numbered.select("doc_id", "text", F.col(row).alias("row")), words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
     # Equal sets are one point, named by its least row: a set of a third of all rows is one row before the joins.
-    each = marked.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
-    points = scratch.keep(each.select(F.col("first.row").alias("uid"), "first", "n", "bands"))
-    found = similar_sets(points.select("uid", "n", "bands"), numbered.select(F.col(row).alias("uid"), "text"), words, similarity, scratch)
+    each = marked.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"))
+    points = scratch.keep(each.select(F.col("first.row").alias("uid"), "first", "n", "fp"))
+    found = similar_sets(points.select("uid", "n", "fp"), numbered.select(F.col(row).alias("uid"), "text"), words, similarity, scratch)
     group = points.join(found.withColumnRenamed("node", "uid"), "uid", "left").groupBy(F.coalesce("component", "uid"))
     stay = scratch.keep(group.agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
     return numbered.join(stay, row, "left_semi").drop(row)

@@ -104,3 +104,56 @@ def test_prefixes_keep_every_similar_pair(spark):
     met = {(a, b) for own in by.values() for (a, n, x), (b, m, y) in itertools.permutations(own, 2) if min(x, y) >= 0.8 / 1.8 * (n + m) - 1e-9}
     similar = {(i, j) for i, j in itertools.permutations(range(len(sets)), 2) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     assert similar <= met
+
+
+def near_sets(make, count):
+    """Sets of hashes in chains of similarities of about 0.8 and more, of many sizes, and the pairs of 0.8 or more."""
+    sets = []
+    while len(sets) < count:
+        own = {make.randrange(1 << 64) for _ in range(make.choice([4, 5, 9, 12, 30, 30, 31, 120]))}
+        for _ in range(make.randrange(1, 6)):
+            sets.append(np.array(sorted(own), np.uint64))
+            drop = make.sample(sorted(own), make.randrange(0, 1 + len(own) // 9))
+            own = own - set(drop) | {make.randrange(1 << 64) for _ in range(make.randrange(0, 1 + len(own) // 9))}
+    whole = [set(s.tolist()) for s in sets]
+    return sets, [(i, j) for j in range(len(sets)) for i in range(j) if len(whole[i] & whole[j]) >= 0.8 * len(whole[i] | whole[j])]
+
+
+def test_candidates_of_the_stage_come_from_fingerprints_in_any_cut(spark, monkeypatch):
+    from tessera.llm.common import Scratch
+
+    sets, similar = near_sets(random.Random(4), 500)
+    prints = simhash.wide_prints(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert prints[:, 0].tolist() == simhash.majority(np.concatenate(sets), np.array([len(s) for s in sets])).tolist()
+    assert len(similar) > 100 and all(np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.REACH for i, j in similar)
+    frame = spark.createDataFrame([(i, len(s), bytearray(p.tobytes())) for i, (s, p) in enumerate(zip(sets, prints, strict=True))], "uid long, n long, fp binary")
+    for shard, lots in ((10_000, 200), (40, 6), (40, 200)):  # whole; by sizes and lots of them; in small lots
+        monkeypatch.setattr(simhash, "SHARD", shard)
+        monkeypatch.setattr(simhash, "LOTS", lots)
+        edges = simhash.close_prints(frame, 0.8, Scratch(spark, "t")).collect()
+        tree = simhash.Forest(len(sets))
+        tree.add(np.array([r["a"] for r in edges]), np.array([r["b"] for r in edges]))
+        assert all(tree.tree[i] == tree.tree[j] for i, j in similar) and len(np.unique(tree.tree)) > 100
+
+
+def test_vantage_points_deal_tight_clusters_apart():
+    make = np.random.default_rng(6)
+    centres = make.integers(0, 1 << 64, (8, simhash.WIDE), np.uint64)
+    flips = np.uint64(1) << make.integers(0, 64, (8, 60, simhash.WIDE), np.uint64)
+    points = (centres[:, None] ^ flips).reshape(-1, simhash.WIDE)
+    nodes = simhash.wide_tree(points, 20, 12)
+    row, shard = simhash.wide_route(points, nodes, 12)
+    assert len(nodes) >= 7 and np.bincount(shard).max() <= 60
+    own = [set(shard[row == i].tolist()) for i in range(len(points))]
+    near = np.bitwise_count(points[:, None] ^ points[None]).sum(2) <= 12
+    assert all(own[i] & own[j] for i, j in np.argwhere(near).tolist())
+
+
+def test_dense_groups_are_joined_without_listing_their_pairs():
+    make = np.random.default_rng(8)
+    prints = np.concatenate([np.full((3_000, simhash.WIDE), 7, np.uint64) ^ (np.uint64(1) << make.integers(0, 64, (3_000, simhash.WIDE), np.uint64)), make.integers(0, 1 << 64, (3_000, simhash.WIDE), np.uint64)])
+    sizes = np.full(6_000, 50)
+    tree = simhash.join_lots([(prints, sizes)], simhash.REACH, 0.8)
+    assert len(set(tree[:3_000].tolist())) == 1 and len(set(tree.tolist())) == 3_001
+    half = [(prints[k::2], sizes[k::2]) for k in (0, 1)]
+    assert len(set(simhash.join_lots(half, simhash.REACH, 0.8).tolist())) == 3_001
