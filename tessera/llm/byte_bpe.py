@@ -100,6 +100,7 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
         self.seen: dict[str, tuple[bytes, int, bytes]] = {}
+        self.older: dict[str, tuple[bytes, int, bytes]] = {}
         self.units = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.spill = tempfile.TemporaryDirectory(prefix="bpe-")  # goes with the worker
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.spill.name})
@@ -141,13 +142,20 @@ class Bpe:
         for k, n, ids, text in zip(got["word"].tolist(), got["n"].tolist(), got["ids"].tolist(), got["hex"].tolist(), strict=True):
             self.seen[words[k]] = (ids.encode(), n, bytes.fromhex(text))
 
+    def unknown(self, words: set[str]) -> set[str]:
+        """Those of words that are in neither half of the cache; the others are in seen then."""
+        words = words.difference(self.seen)
+        again = words.intersection(self.older)
+        self.seen.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return words - again
+
     def texts(self, raws: list[bytes]) -> list[list[tuple[bytes, int, bytes]]]:
         """The words of each text, encoded and decoded."""
-        if len(self.seen) > CACHED:
-            self.seen.clear()
+        if len(self.seen) > CACHED // 2:  # words that come again are taken over from the older half, so that none of them is contracted anew
+            self.older, self.seen = self.seen, {}
         pieces = [PIECE.findall(raw.decode()) for raw in raws]
-        split = {p: self.pattern.findall(p) for p in set(chain.from_iterable(pieces)).difference(self.seen)}
-        if new := list(set(chain.from_iterable(split.values())).difference(self.seen)):
+        split = {p: self.pattern.findall(p) for p in self.unknown(set(chain.from_iterable(pieces)))}
+        if new := list(self.unknown(set(chain.from_iterable(split.values())))):
             for i in range(0, len(new), 50_000):
                 self.encode(new[i : i + 50_000])
         for p, words in split.items():

@@ -47,3 +47,14 @@ def test_repeats_null_ids_and_an_empty_table(documents):
 def test_a_second_pattern_has_its_own_words():
     one, two = byte_bpe.Bpe.of(RANKS, P.PATTERN), byte_bpe.Bpe.of(RANKS, r"\S|\s")
     assert one is not two and one.texts([b"hello"])[0][0][1] == 1 and two.texts([b"hello"])[0][0][1] == 5
+
+
+def test_words_that_come_again_are_contracted_once_when_the_cache_is_renewed(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED", 8)
+    bpe, met = byte_bpe.Bpe(RANKS, P.PATTERN), []
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda words: (met.extend(words), encode(words)))
+    for k in range(40):
+        texts = [f"frequent frequently q{k}x z{k}y".encode()]
+        assert b"".join(w[2] for w in bpe.texts(texts)[0]) == texts[0] and len(bpe.seen) + len(bpe.older) < 40
+    assert met.count("frequent") == met.count(" frequently") == 1
