@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(run), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run, "words"), PIECES)
 
 
 def best_configuration(prices: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:

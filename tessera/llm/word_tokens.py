@@ -13,6 +13,8 @@ import json
 import re
 from array import array
 
+from .common import HELD
+
 #: The letters for which the short way holds, and the pre-tokenizer's pattern over these.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e¡«»¿À-ɏ]*")
 PRE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -30,6 +32,7 @@ RULES = (
 #: Entries of a worker's cache; a full one is emptied, which costs time and no results.
 CACHED = 1_000_000
 _made: dict[str, WordTokens] = {}
+HELD["words"] = _made.clear
 
 
 def byte_letters() -> dict[int, str]:

@@ -116,3 +116,13 @@ def test_the_program_alone_reaches_the_bound_on_lengths_of_texts():
     lengths = np.minimum(4096, np.exp(np.random.default_rng(1).normal(5.5, 1.2, 50_000)).astype(int) + 1)
     histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
     assert used(packing.by_configurations(histogram, 4096), histogram, 4096) <= -(-int(lengths.sum()) // 4096) + 1
+
+
+def test_tasks_of_other_operators_drop_the_cache_of_words():
+    from tessera.llm import common, word_tokens
+
+    path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    words = word_tokens.WordTokens.of(path)
+    assert words.ids(b"some words") and list(common.frugal(lambda batches: batches, "words")(iter([1]))) == [1] and word_tokens._made
+    assert list(common.frugal(lambda batches: batches)(iter([1]))) == [1] and not word_tokens._made
+    assert word_tokens.WordTokens.of(path).ids(b"some words") == words.ids(b"some words")
