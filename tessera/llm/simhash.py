@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_slices, components, fresh, frugal
+from .common import Scratch, byte_slices, components, fresh, frugal, frugal_group
 
 #: Points in the sample that the top of the tree is built on, points in a shard (more only where the tree is full), most shards, and points of a block.
 SAMPLE, SHARD, SHARDS, BLOCK = 16_384, 4_000, 4096, 96
@@ -225,7 +225,7 @@ def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
         a, b = join_shard(points, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(frugal(deal), "shard int, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
+    return distinct.select("fp").mapInArrow(frugal(deal), "shard int, fp long").groupBy("shard").applyInArrow(frugal_group(join), "a long, b long")
 
 
 def grouped(marked: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
@@ -424,7 +424,7 @@ def close_prints(points: DataFrame, similarity: float, scratch: Scratch) -> Data
         return pa.table({"a": uid[joined], "b": uid[tree[joined]]})
 
     met = dealt.mapInArrow(frugal(meetings), ", ".join(f"{c} int" for c in [*MEETING, "side"]) + ", uid long, n long, fp binary")
-    return met.groupBy(*MEETING).applyInArrow(join, "a long, b long")
+    return met.groupBy(*MEETING).applyInArrow(frugal_group(join), "a long, b long")
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:

@@ -1,12 +1,14 @@
 """The pipeline over the smallest tables: each stage against brute force on its own input."""
 
+import gc
+import time
 import zlib
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from tessera.llm import suffix_dedup
+from tessera.llm import common, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -101,3 +103,25 @@ def test_a_run_gives_what_its_stages_give(spark, stages):
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.columns == stages[-1][1].columns
     assert sorted(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, stages[-1][1].select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_each_stage_begins_in_executors_that_have_collected_their_garbage(spark, documents):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    begun = corpus_pipeline.after_others(lambda spark, docs, sf_dir: (docs, used()))
+    assert all(stage.__code__ is begun.__code__ for _, stage in corpus_pipeline.STAGES)
+    filled = [spark.sparkContext._gateway.new_array(spark._jvm.byte, 64 << 20) for _ in range(2)]
+    del filled
+    gc.collect()
+    before, docs = used(), documents([])
+    assert begun(spark, docs, DATA)[0] is docs and begun(spark, docs, DATA)[1] < before - (64 << 20)
+
+
+def test_long_groups_hand_their_memory_back_and_short_ones_do_not(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "released", lambda: calls.append(1))
+    assert common.frugal_group(lambda group: group + 1)(1) == 2 and not calls
+    assert common.frugal_group(lambda group: time.sleep(common.WORTH) or group)(1) == 1 and calls == [1]
+    with pytest.raises(ZeroDivisionError):
+        common.frugal_group(lambda group: time.sleep(common.WORTH) or 1 / group)(0)
+    assert len(calls) == 2
