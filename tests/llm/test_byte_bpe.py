@@ -58,3 +58,14 @@ def test_words_that_come_again_are_contracted_once_when_the_cache_is_renewed(mon
         texts = [f"frequent frequently q{k}x z{k}y".encode()]
         assert b"".join(w[2] for w in bpe.texts(texts)[0]) == texts[0] and len(bpe.seen) + len(bpe.older) < 40
     assert met.count("frequent") == met.count(" frequently") == 1
+
+
+def test_ids_stay_in_order_where_the_aggregation_takes_rows_in_another(monkeypatch, library):
+    words = ["uncharacteristically", "zqxjkv", "a", " " * 33, "aaaabaaaab", "naïveté", "x" * 300]
+    monkeypatch.setattr(byte_bpe, "DECODE", byte_bpe.DECODE.replace("order by word, pos", "order by word, pos desc"))
+    assert "pos desc" in byte_bpe.DECODE
+    bpe = byte_bpe.Bpe(RANKS, P.PATTERN)
+    bpe.encode(words)
+    for word in words:
+        ids = library.encode_ordinary(word)
+        assert bpe.seen[word] == ("".join(f" {i}" for i in ids).encode(), len(ids), word.encode())
