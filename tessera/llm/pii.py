@@ -167,6 +167,7 @@ def redacted(docs: DataFrame, least: float = 0.8) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pii")
     found = found_spans(docs, least, scratch).filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("spans"))
     found = scratch.keep(found.select(F.col("key").alias(key), F.col("spans").alias(spans)))
+    scratch.clear(found)
     each = docs.withColumn(key, F.expr(KEY)).join(found, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
     out = each.withColumn(spans, F.coalesce(spans, F.expr(f"cast(array() as {SPANS})")))
     return recounted(out.withColumn("text", F.expr(masked("text", spans))).select(*docs.columns))

@@ -16,8 +16,9 @@ of each set, within REACH bits. A bit of two sets of similarity 0.8 differs with
 such a pair is missed with a chance of 1e-5 (3e-8); sets without a common shingle are within it with one of 5e-11. The same tree deals them into shards. Independent texts are
 all about equally far apart, and no partition of Hamming space parts them at such a radius, so a shard that stays large is cut by the sets' sizes,
 which similar sets share up to a factor, and into lots: every pair of lots that may hold links is a task, compared outright. Each task reports a
-spanning forest. Members of a group of close fingerprints first meet its pivots, a row a member. Those of groups that still hold several components
-are then joined exactly by their rarest shingles, so that no candidate pair between components goes unverified, and texts with a common passage aren't all paired.
+spanning forest. Members of a group of close fingerprints first meet its pivots, a row a member. Groups that still hold several components
+are then dealt out with their sets, a task a group; a group beyond LOT shingles is cut into lots, a task each pair of lots. A task joins its sets exactly by their
+rarest shingles, so that no candidate pair between components goes unverified, and texts with a common passage aren't all paired; it reports a forest, never its pairs.
 
 Null text is empty text: fingerprint zero, linked like any other. Null ids are kept, and take their group's smallest known id
 (null if there is none). Repeated rows are all returned. An empty table gives no rows. Other columns are not read.
@@ -41,6 +42,8 @@ SLICE = 1 << 20
 #: Stage form: 64-bit words of a fingerprint, differing bits of candidates, in all and in the first two words (1.4e-6 of pairs at 0.8 at worst have more there),
 #: lots that a corpus beyond LOTS * SHARD points is cut in, rows and columns of a tile, turns of pivots.
 WIDE, REACH, HALF, LOTS, TILE, WIDTH, PIVOTS = 4, 76, 46, 64, 16, 4_096, 2
+#: Shingles of a lot of a group of sets, about, and of candidates that are verified at once.
+LOT, CHECKED = 1 << 19, 1 << 16
 LANES = np.uint64(0x0101010101010101)
 #: What names a task of the stage form: the shard, and level of sizes and lot of both of its sides.
 MEETING = ["shard", "i", "x", "j", "y"]
@@ -464,7 +467,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_sets(points: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, component) of the points(uid, n, fp) with links of at least similarity; texts(uid, text)."""
-    close = components(scratch.keep(close_prints(points, similarity, scratch)), scratch)
+    forest = scratch.keep(close_prints(points, similarity, scratch))
+    close = components(forest, scratch)
     own = close.select(F.col("component").alias("key"), F.col("node").alias("uid"), F.col("component").alias("pivot"))
     member = scratch.keep(own.join(points.select("uid", "n"), "uid").select("key", "uid", "n", "pivot"))
     sets = scratch.keep(shingle_sets(texts.join(member.select("uid"), "uid", "left_semi"), words))
@@ -475,21 +479,95 @@ def similar_sets(points: DataFrame, texts: DataFrame, words: int, similarity: fl
         named = scratch.keep(named)
         mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("uid", F.xxhash64("uid", F.lit(turn))).alias("pivot")).filter("low <> high")
         inside = scratch.keep(named.join(mixed.select("key", "pivot"), "key"))
-        if turn == PIVOTS:  # members of groups that are still of several components: an exact join of their sets by their rarest shingles
-            inside = scratch.keep(prefixes(inside.select("uid", "n", "c").distinct(), sets, similarity, scratch))
-            own = inside
+        if turn == PIVOTS:  # members of groups that are still of several components
+            links = links.unionByName(scratch.keep(exact_links(inside.select("key", "uid", "n", "c"), sets, similarity, scratch)))
         else:  # one more member of a group meets all others: one row a member
-            own, inside = inside.filter("uid = pivot").withColumn("rest", F.col("n")), inside.withColumn("rest", F.col("n"))
-        own = own.select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("rest").alias("arest"))
-        near = (F.col("c") != F.col("ac")) & (F.least("n", "an") >= similarity * F.greatest("n", "an") - 1e-9)
-        if turn == PIVOTS:  # what follows the first shingle that two sets share must be enough for the shingles that they have to share
-            near = near & (F.col("a") < F.col("uid")) & (F.least("rest", "arest") >= similarity / (1 + similarity) * (F.col("n") + F.col("an")) - 1e-9)
-        pairs = own.join(inside, "key").filter(near).select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
-        links = links.unionByName(scratch.keep(verified(pairs, sets, similarity)))
-        scratch.drop(named)
+            far = (F.col("c") != F.col("ac")) & (F.least("n", "an") >= similarity * F.greatest("n", "an") - 1e-9)
+            own = inside.filter("uid = pivot").select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+            pairs = own.join(inside, "key").filter(far).select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b")).distinct()
+            links = links.unionByName(scratch.keep(verified(pairs, sets, similarity)))
+        scratch.drop(named, inside)
+    scratch.drop(member, sets)
     return components(links, scratch)
 
 
+def exact_links(members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of forests that join the components c of members(key, uid, n, c) of a group, key, wherever two of their sets are similar."""
+    lots = scratch.keep(members.groupBy("key").agg(F.ceil(F.sum("n") / LOT).cast("int").alias("lots")))
+    placed = members.join(lots, "key")
+    if not lots.filter("lots > 1").isEmpty():  # sets of large groups are dealt out several times: those that share none of their rarest shingles with another component stay out
+        shared = prefixes(placed.filter("lots > 1").select("uid", "n", "c"), sets, similarity, scratch)
+        meets = scratch.keep(shared.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"))
+        stay = scratch.keep(shared.join(meets, "key").select("uid").distinct())
+        placed = placed.filter("lots <= 1").unionByName(placed.filter("lots > 1").join(stay, "uid", "left_semi").select(placed.columns))
+    x, y = F.pmod(F.xxhash64("uid"), F.col("lots")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1))
+    dealt = placed.join(sets, "uid").select("key", "uid", "c", "hashes", x.alias("x"), y.alias("y"))
+    dealt = dealt.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("side"), "uid", "c", "hashes")
+
+    def join(group: pa.Table) -> pa.Table:
+        found = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
+        side = group.column("side").to_numpy() if group.column("i")[0].as_py() != group.column("j")[0].as_py() else None
+        a, b = join_sets(found, group.column("c").to_numpy(), side, similarity)
+        uid = group.column("uid").to_numpy()
+        return pa.table({"a": uid[a], "b": uid[b]})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(frugal_group(join), "a long, b long")
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the runs of sizes from starts on."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def join_sets(sets: list[np.ndarray], c: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of a forest that joins components c with similar sets; with side, only sets of different sides are compared.
+
+    Similar sets share one of the rarest shingles of each, all but similarity of them; the sets that share one are compared whole.
+    """
+    none = np.zeros(0, np.int64)
+    if len(sets) < 2 or (c == c[0]).all() or (side is not None and (side == side[0]).all()):
+        return none, none
+    n = np.array([len(s) for s in sets], np.int64)
+    _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first = int((count == 1).sum())  # shingles of one set come first in the order and are left out
+    row, ids = np.repeat(np.arange(len(sets)), n), rank[ids] - first
+    row, ids = row[ids >= 0], ids[ids >= 0]
+    order = np.argsort(row * len(rank) + ids)
+    row, ids = row[order], ids[order]
+    size = np.bincount(row, minlength=len(sets))
+    start = np.cumsum(size) - size
+    room = np.clip(n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1 - (n - size), 0, size)
+    rarest = ranges(start, room)
+    by = rarest[np.argsort(ids[rarest], kind="stable")]
+    length = np.bincount(ids[by], minlength=len(rank) - first)
+    begin, owner = np.cumsum(length) - length, row[by]
+
+    _, roots, tree = np.unique(c, return_index=True, return_inverse=True)
+    forest, marked = Forest(len(roots)), np.zeros(len(rank) - first, bool)
+    for k in np.flatnonzero(room) if side is None else np.flatnonzero(room & -side.astype(np.int64)):
+        own = ids[start[k] : start[k] + room[k]]
+        met = np.unique(owner[ranges(begin[own], length[own])])
+        met = met[met < k] if side is None else met[~side[met]]
+        met = met[np.minimum(n[met], n[k]) >= similarity * np.maximum(n[met], n[k]) - 1e-9]
+        met = met[forest.tree[tree[met]] != forest.tree[tree[k]]]
+        if not len(met):
+            continue
+        marked[ids[start[k] : start[k] + size[k]]] = True
+        while len(met):
+            some = met[: max(1, int(np.searchsorted(np.cumsum(size[met]), CHECKED)))]
+            both = np.add.reduceat(marked[ids[ranges(start[some], size[some])]], np.cumsum(size[some]) - size[some], dtype=np.int64)
+            near = some[both >= similarity * (n[some] + n[k] - both) - 1e-9]
+            forest.add(tree[near], np.full(len(near), tree[k]))
+            met = met[len(some) :]
+            met = met[forest.tree[tree[met]] != forest.tree[tree[k]]]
+        marked[ids[start[k] : start[k] + size[k]]] = False
+    joined = np.flatnonzero(forest.tree != np.arange(len(roots)))
+    return roots[joined], roots[forest.tree[joined]]
+
+
 def prefixes(points: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(key, uid, n, c, rest) of the shingles of each of points(uid, n, c) that a similar set must share one of: its rarest ones, all but similarity of them.
 
@@ -531,7 +609,9 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     # Equal sets are one point, named by its least row: a set of a third of all rows is one row before the joins.
     each = marked.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"))
     points = scratch.keep(each.select(F.col("first.row").alias("uid"), "first", "n", "fp"))
+    scratch.drop(marked)
     found = similar_sets(points.select("uid", "n", "fp"), numbered.select(F.col(row).alias("uid"), "text"), words, similarity, scratch)
     group = points.join(found.withColumnRenamed("node", "uid"), "uid", "left").groupBy(F.coalesce("component", "uid"))
     stay = scratch.keep(group.agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
+    scratch.clear(stay)
     return numbered.join(stay, row, "left_semi").drop(row)

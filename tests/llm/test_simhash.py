@@ -157,3 +157,53 @@ def test_dense_groups_are_joined_without_listing_their_pairs():
     assert len(set(tree[:3_000].tolist())) == 1 and len(set(tree.tolist())) == 3_001
     half = [(prints[k::2], sizes[k::2]) for k in (0, 1)]
     assert len(set(simhash.join_lots(half, simhash.REACH, 0.8).tolist())) == 3_001
+
+
+def test_sets_of_a_task_are_joined_as_all_pairs_are(monkeypatch):
+    make = random.Random(12)
+    sets, similar = near_sets(make, 400)
+    passage = [make.randrange(1 << 64) for _ in range(30)]  # of many sets that are not similar
+    sets += [np.array(sorted({*passage, *(make.randrange(1 << 64) for _ in range(14))}), np.uint64) for _ in range(60)]
+    make.shuffle(order := list(range(len(sets))))
+    sets = [sets[k] for k in order]
+    similar = [(order.index(i), order.index(j)) for i, j in similar]
+    c = np.array([make.randrange(300) for _ in sets])
+    for checked in (1, simhash.CHECKED):
+        monkeypatch.setattr(simhash, "CHECKED", checked)
+        for side in (None, np.array([make.random() < 0.5 for _ in sets])):
+            want, got = simhash.Forest(300), simhash.Forest(300)
+            pairs = [(c[i], c[j]) for i, j in similar if side is None or side[i] != side[j]]
+            want.add(np.array([x for x, _ in pairs]), np.array([y for _, y in pairs]))
+            a, b = simhash.join_sets(sets, c, side, 0.8)
+            got.add(c[a], c[b])
+            assert got.tree.tolist() == want.tree.tolist() and len(a) == 300 - len(set(got.tree.tolist()))
+
+
+def test_lots_of_a_large_group_lose_no_link(spark, monkeypatch):
+    from tessera.llm.common import Scratch
+
+    make = random.Random(14)
+    sets, similar = near_sets(make, 150)
+    members = spark.createDataFrame([(7 * (i % 2), i, len(s), i // 2) for i, s in enumerate(sets)], "key long, uid long, n long, c long")
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "uid long, hashes binary")
+    want, got = simhash.Forest(len(sets)), simhash.Forest(len(sets))
+    same = [(i, i ^ 1) for i in range(len(sets)) if i ^ 1 < len(sets)]
+    own = [(i, j) for i, j in similar if i % 2 == j % 2]
+    want.add(*(np.array([p[k] for p in same + own]) for k in (0, 1)))
+    monkeypatch.setattr(simhash, "LOT", 700)
+    edges = [(r["a"], r["b"]) for r in simhash.exact_links(members, frame, 0.8, Scratch(spark, "t")).collect()]
+    got.add(*(np.array([p[k] for p in same + edges]) for k in (0, 1)))
+    assert got.tree.tolist() == want.tree.tolist() and len(own) > 20
+
+
+def test_dense_groups_below_the_similarity_are_never_listed_as_pairs(documents, monkeypatch):
+    make, listed = random.Random(13), []
+    texts = [" ".join(f"v{k}{make.randrange(4)}" if k % 12 == 6 else f"w{k}" for k in range(150)) for _ in range(120)]  # two share some words of many texts, and rarely enough of them
+    texts += [texts[5] + " end", texts[80] + " end"]
+    sets = [frozenset(shingled(t, 5)) for t in texts]
+    want = smallest(range(len(texts)), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    verified = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: listed.append(pairs.count()) or verified(pairs, *rest))
+    got = simhash.representatives(documents(list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want)) and len(set(want)) > 90
+    assert listed and sum(listed) <= 3 * len(texts)

@@ -39,3 +39,19 @@ def test_representatives_against_brute_force(documents):
                 group = [low if g == high else g for g in group]
     got = simhash.representatives(documents(list(enumerate(texts)))).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(set(group))
+
+
+def test_stages_leave_only_the_tables_that_are_still_read(spark, documents):
+    from pathlib import Path
+
+    from tessera.llm import common, pii, simhash, suffix_dedup
+
+    passage = " ".join(f"w{k}" for k in range(150))
+    docs = documents([(k, f"{passage} mail a{k}@b{k}.org x{k}") for k in range(8)])
+    root = Path(common.shared_root(spark).removeprefix("file://"))
+    for stage, name, tables in ((simhash.representatives, "simhash", 1), (suffix_dedup.kept_texts, "suffixes", 2), (pii.redacted, "pii", 1)):
+        before = set(root.glob(f"{name}-*"))
+        made = stage(docs)
+        (own,) = set(root.glob(f"{name}-*")) - before
+        assert len([p for p in own.iterdir() if p.is_dir()]) == tables
+        assert 0 < made.count() <= 8
