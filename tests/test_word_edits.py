@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, word_edits
+from tessera.plans import scoring
 
 
 def plain_path(ref, hyp):
@@ -66,3 +67,12 @@ def test_rates_notes_and_order(spark):
 
 def samples_of(spark):
     return evaluation.sample_scores(spark.createDataFrame([], "reference string, prediction string, k long"), ["k"])
+
+
+def test_runs_are_scored_once(spark):
+    runs = scoring.two_runs(spark, "/root/testdata/sf0.001")
+    assert not [1 for run in runs for rows in run if "MapInArrow" in rows._jdf.queryExecution().optimizedPlan().toString()]
+    differences, label = evaluation.comparison(*runs)
+    told = {r["metric"]: (r["a"], r["b"]) for r in differences.collect()}
+    assert label == "PILOT" and set(told) == set(evaluation.METRICS)
+    assert told["evaluated_samples"] == (runs[0][1].count(), runs[1][1].count()) and told["insertions"][1] == 0 < told["insertions"][0]
