@@ -1,5 +1,6 @@
 """Word edits against a plain table, and their order, ties and notes."""
 
+import time
 from difflib import SequenceMatcher
 
 from hypothesis import given, settings
@@ -76,3 +77,14 @@ def test_runs_are_scored_once(spark):
     told = {r["metric"]: (r["a"], r["b"]) for r in differences.collect()}
     assert label == "PILOT" and set(told) == set(evaluation.METRICS)
     assert told["evaluated_samples"] == (runs[0][1].count(), runs[1][1].count()) and told["insertions"][1] == 0 < told["insertions"][0]
+
+
+def test_character_edits_of_a_text_and_its_own_beginning(spark):
+    small = [("", ""), ("ab c", "ab"), ("ab", "ab c"), ("", "ab"), ("ab", ""), ("ab", "ab"), ("bab", "ab"), ("é à", "é"), ("ea", "é")]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(small)], "k long, reference string, prediction string")
+    found = {r["k"]: r["char_edits"] for r in evaluation.sample_scores(rows, ["k"]).collect()}
+    assert [found[k] for k in range(len(small))] == [0, 2, 2, 2, 2, 0, 1, 2, 2]
+    began = time.monotonic()
+    long = spark.createDataFrame([("x" * 200_000, "x" * 199_000)], "reference string, prediction string")
+    assert [r["char_edits"] for r in evaluation.sample_scores(long, []).collect()] == [1000]
+    assert time.monotonic() - began < 15  # a table of all cells takes minutes
