@@ -1,11 +1,14 @@
 """Word edits against a plain table, and their order, ties and notes."""
 
 import time
+import tracemalloc
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators import evaluation, word_edits
 from tessera.plans import scoring
@@ -88,3 +91,48 @@ def test_character_edits_of_a_text_and_its_own_beginning(spark):
     long = spark.createDataFrame([("x" * 200_000, "x" * 199_000)], "reference string, prediction string")
     assert [r["char_edits"] for r in evaluation.sample_scores(long, []).collect()] == [1000]
     assert time.monotonic() - began < 15  # a table of all cells takes minutes
+
+
+class Captured:
+    """In place of a table: keeps the function that would run over its batches."""
+
+    schema = StructType()
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def peak_of(run, n):
+    """(rows, peak MB of Python's own memory) of a batch of n rows with 40 words on both sides."""
+    ref = [" ".join(f"word{(k * 7 + i) % 900}" for i in range(40)) for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ref), pa.array([r.replace("word1", "ward1") for r in ref]), pa.array(range(n), pa.int64())], ["r", "h", "k"])
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        return rows, tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_paths_does_not_grow_with_a_batch(spark):
+    run = word_edits.edits_in_order(Captured(), *map(F.col, "rhk")).run
+    (_, small), (many, large) = peak_of(run, 2_500), peak_of(run, 10_000)
+    assert many > 10_000 and large < 1.5 * small
+
+
+def test_gold_metrics_align_once(spark):
+    plan = scoring.gold_scores(spark, "/root/testdata/sf0.001").metrics._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_slices_are_the_whole_batch(monkeypatch):
+    monkeypatch.setattr(word_edits, "SLICE", 200)
+    texts = ["a b", None, "", "x" * 500, "c", "c", "d"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(texts[::-1]), pa.array(range(len(texts)))], ["r", "h", "k"])
+    parts = list(word_edits.slices(batch))
+    assert len(parts) > 3 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert not list(word_edits.slices(batch.slice(0, 0)))
