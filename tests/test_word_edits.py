@@ -136,3 +136,9 @@ def test_slices_are_the_whole_batch(monkeypatch):
     parts = list(word_edits.slices(batch))
     assert len(parts) > 3 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
     assert not list(word_edits.slices(batch.slice(0, 0)))
+
+
+def test_memory_of_counts_does_not_grow_with_a_batch(spark):
+    run = word_edits.counted(Captured(), F.col("r"), F.col("h"), ["k"]).run
+    (_, small), (many, large) = peak_of(run, 2_500), peak_of(run, 10_000)
+    assert many == 10_000 and large < 1.5 * small
